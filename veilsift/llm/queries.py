@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mix
+from .simhash import linked
 from .urlfilter import judge
 
 #: Rules of the URL query: host, path, verdict.
@@ -19,6 +20,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -26,6 +31,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
+    "op7_simhash_groups": op7_simhash_groups,
     "op10_url_filter": op10_url_filter,
 }
 
