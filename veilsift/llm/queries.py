@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mix
+from .orderminhash import fingerprinted
 from .packing import packed
 from .simhash import linked
 from .tokenfile import round_trip
@@ -38,6 +39,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pack_documents": op6_pack_documents,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_token_files": op8_token_files,
+    "op9_order_minhash": op9_order_minhash,
     "op10_url_filter": op10_url_filter,
 }
 
