@@ -12,6 +12,7 @@ from .common import table
 from .mixing import mix
 from .orderminhash import fingerprinted
 from .packing import packed
+from .quality import rules
 from .simhash import linked
 from .tokenfile import round_trip
 from .urlfilter import judge
@@ -23,6 +24,10 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 2
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,6 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op5_mix_sources": op5_mix_sources,
     "op6_pack_documents": op6_pack_documents,
     "op7_simhash_groups": op7_simhash_groups,
