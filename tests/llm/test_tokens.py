@@ -21,21 +21,23 @@ def plain(text):
 def test_word_by_word_is_the_whole_encoding():
     own, tok = tokens.Encoder(PATH), Tokenizer.from_file(PATH)
     for text in [*ODD, " ".join(ODD), "x" * 5000]:
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+        assert np.frombuffer(next(own.encode([text])), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_word_by_word_on_any_text(text):
     own, tok = tokens.encoder(PATH), Tokenizer.from_file(PATH)
-    assert np.frombuffer(own.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(next(own.encode([text])), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 def test_small_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", 12)
     monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
     own, tok = tokens.Encoder(PATH), Tokenizer.from_file(PATH)
-    for text in ["a b c d e f g h", "a b", "h i j k", "x" * 50 + " a", ""] * 2:
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    texts = ["a b c d e f g h", "a b", "h i j k", "x" * 50 + " a", ""] * 2
+    for text, got in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 def covered(lengths, sequences):

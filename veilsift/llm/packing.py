@@ -170,9 +170,9 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits
         id_type = None
         for b in batches:
             id_type = b.schema.field(0).type
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, found in zip(b.column(0).to_pylist(), encode(t or "" for t in b.column(1).to_pylist())):
                 ids.append(doc_id)
-                data.append(encode(text or "") + end)
+                data.append(found + end)
                 tokens += len(data[-1]) // 4
                 if len(ids) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
                     yield from flush()

@@ -49,11 +49,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> list[tup
         ids: list[int | None] = []
         offsets, out = [0], None
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, found in zip(b.column(0).to_pylist(), encode.encode(t or "" for t in b.column(1).to_pylist())):
                 if out is None:
                     fs.create_dir(path, recursive=True)
                     out = fs.open_output_stream(f"{path}/{name}.bin")
-                data = np.frombuffer(encode.encode(text or "") + end, "<u4")
+                data = np.frombuffer(found + end, "<u4")
                 out.write(data.astype(kind).tobytes())
                 ids.append(doc_id)
                 offsets.append(offsets[-1] + len(data))

@@ -6,39 +6,58 @@ feeds are cut at; other white space stays inside a piece and is left to the toke
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words kept in a worker's cache, and the longest kept (characters).
-CACHE_WORDS, CACHE_CHARS = 200_000, 40
+#: Words kept in a worker's cache, the longest kept (characters), and the characters of text encoded at a time.
+CACHE_WORDS, CACHE_CHARS, BLOCK_CHARS = 600_000, 40, 2_000_000
 
 
 class Encoder:
     """Ids as bytes: little-endian unsigned 32-bit."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = list(set(words).difference(known))
-        if not new:
-            return b"".join(map(known.__getitem__, words))
-        if len(known) + len(new) > CACHE_WORDS:
-            self.known = known = {"": b""}
-            new = list(set(words).difference(known))
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, got)}
-        small = {w: b for w, b in found.items() if len(w) <= CACHE_CHARS}
-        if len(small) + len(known) <= CACHE_WORDS:
-            known.update(small)
-        if len(small) < len(found) or len(known) < len(small):
-            return b"".join(found[w] if w in found else known[w] for w in words)
-        return b"".join(map(known.__getitem__, words))
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        block: list[list[str]] = []
+        chars = 0
+        for text in texts:
+            block.append(text.replace("\n", " ").split(" "))
+            chars += len(text)
+            if chars >= BLOCK_CHARS:
+                yield from self._block(block)
+                block, chars = [], 0
+        yield from self._block(block)
+
+    def _block(self, block: list[list[str]]) -> Iterator[bytes]:
+        words = set().union(*block)
+        new = list(words.difference(self.known))
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, new = {"": b""}, list(words)
+        flat, cuts = [], [0]
+        for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False):
+            flat += e.ids
+            cuts.append(len(flat) * 4)
+        data = np.array(flat, "<u4").tobytes()
+        found = {w: data[a:z] for w, a, z in zip(new, cuts, cuts[1:])}
+        self.known |= found
+        look = self.known.__getitem__
+        yield from [b"".join(map(look, text)) for text in block]
+        if len(self.known) > CACHE_WORDS:
+            self.known = {"": b""}
+        else:
+            for w in found:
+                if len(w) > CACHE_CHARS:
+                    del self.known[w]
+            self.known[""] = b""
 
 
 @lru_cache(maxsize=2)
