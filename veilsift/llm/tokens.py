@@ -2,10 +2,15 @@
 
 The tokenizer drops white space and no token spans it, so a text's ids are its words' ids in order. Only spaces and line
 feeds are cut at; other white space stays inside a piece and is left to the tokenizer.
+
+A word of plain letters (below U+0250) and trailing punctuation is two tokenizer pieces, so its ids are those of its
+lower-case letters and of its punctuation. Such letters need no normalizing or splitting: a copy of the tokenizer
+without those steps encodes them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -15,6 +20,7 @@ from tokenizers import Tokenizer
 
 #: Words kept in a worker's cache, the longest kept (characters), and the characters of text encoded at a time.
 CACHE_WORDS, CACHE_CHARS, BLOCK_CHARS = 600_000, 40, 2_000_000
+TAIL, PLAIN = ".,;:!?", "\u0250"
 
 
 class Encoder:
@@ -23,7 +29,15 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
+        bare = json.loads(self.tokenizer.to_str())
+        steps = (bare["pre_tokenizer"] or {}).get("pretokenizers", [])
+        bare |= {"normalizer": None, "pre_tokenizer": next((s for s in steps if s["type"] == "ByteLevel"), None), "added_tokens": []}
+        self.letters = Tokenizer.from_str(json.dumps(bare))
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order."""
@@ -39,25 +53,44 @@ class Encoder:
 
     def _block(self, block: list[list[str]]) -> Iterator[bytes]:
         words = set().union(*block)
-        new = list(words.difference(self.known))
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {"": b""}, list(words)
-        flat, cuts = [], [0]
-        for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False):
-            flat += e.ids
-            cuts.append(len(flat) * 4)
-        data = np.array(flat, "<u4").tobytes()
-        found = {w: data[a:z] for w, a, z in zip(new, cuts, cuts[1:])}
-        self.known |= found
-        look = self.known.__getitem__
+            self.forget()
+            new = words.difference(self.known)
+        whole, plain, long = set(), [], []
+        for w in new:
+            core = w.rstrip(TAIL)
+            low = core.lower()
+            if low.isalpha() and max(core) < PLAIN and max(low) < PLAIN:
+                tail = w[len(core) :]
+                plain.append((w, low, tail))
+                if tail not in self.known:
+                    whole.add(tail)
+            else:
+                whole.add(w)
+            if len(w) > CACHE_CHARS:
+                long.append(w)
+        self.known |= _ids(self.tokenizer, list(whole))
+        self.cores |= _ids(self.letters, list({c for _, c, _ in plain}.difference(self.cores)))
+        known, cores = self.known, self.cores
+        for w, core, tail in plain:
+            known[w] = cores[core] + known[tail]
+        look = known.__getitem__
         yield from [b"".join(map(look, text)) for text in block]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        else:
-            for w in found:
-                if len(w) > CACHE_CHARS:
-                    del self.known[w]
-            self.known[""] = b""
+        if len(known) > CACHE_WORDS:
+            self.forget()
+        for w in long:
+            known.pop(w, None)
+            cores.pop(w.rstrip(TAIL).lower(), None)
+
+
+def _ids(tokenizer: Tokenizer, words: list[str]) -> dict[str, bytes]:
+    flat, cuts = [], [0]
+    for e in tokenizer.encode_batch_fast(words, add_special_tokens=False):
+        flat += e.ids
+        cuts.append(len(flat) * 4)
+    data = np.array(flat, "<u4").tobytes()
+    return {w: data[a:z] for w, a, z in zip(words, cuts, cuts[1:])}
 
 
 @lru_cache(maxsize=2)
