@@ -67,15 +67,19 @@ class _Pool:
         self.left -= 1
         return int(self.doc[i]), int(self.start[i]), int(self.length[i])
 
+    def compact(self) -> None:
+        """Drop what is placed."""
+        keep = np.flatnonzero(self.alive)
+        for name in ("doc", "start", "length", "vector"):
+            old = getattr(self, name)
+            old[: len(keep)] = old[keep]
+        self.alive[:] = False
+        self.alive[: len(keep)] = True
+        self.n = len(keep)
+
     def put(self, doc: int, start: int, length: int) -> None:
-        if self.n == len(self.doc):  # drop what is placed
-            keep = np.flatnonzero(self.alive)
-            for name in ("doc", "start", "length", "vector"):
-                old = getattr(self, name)
-                old[: len(keep)] = old[keep]
-            self.alive[:] = False
-            self.alive[: len(keep)] = True
-            self.n = len(keep)
+        if self.n == len(self.doc):
+            self.compact()
         i, self.n = self.n, self.n + 1
         self.doc[i], self.start[i], self.length[i], self.alive[i] = doc, start, length, True
         self.vector[i] = length, 1, _loss(start, length)
@@ -94,6 +98,8 @@ def pack(lengths: list[int], limits: Limits = Limits(), cut: bool = True) -> lis
     weight = pool.vector[: pool.n].mean(0) / limit / limit if pool.n else np.zeros(3)
     while pool.left:
         free, sequence = limit.copy(), []
+        if pool.left < pool.n * 0.7:
+            pool.compact()
         while pool.left:
             v = pool.vector[: pool.n]
             fits = pool.alive[: pool.n] & (v <= free).all(1)

@@ -14,12 +14,13 @@ import json
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Words kept in a worker's cache, the longest kept (characters), and the characters of text encoded at a time.
-CACHE_WORDS, CACHE_CHARS, BLOCK_CHARS = 600_000, 40, 2_000_000
+CACHE_WORDS, CACHE_CHARS, BLOCK_CHARS = 1_200_000, 40, 2_000_000
 TAIL, PLAIN = ".,;:!?", "\u0250"
 
 
@@ -53,33 +54,22 @@ class Encoder:
 
     def _block(self, block: list[list[str]]) -> Iterator[bytes]:
         words = set().union(*block)
-        new = words.difference(self.known)
+        new = list(words.difference(self.known))
         if len(self.known) + len(new) > CACHE_WORDS:
             self.forget()
-            new = words.difference(self.known)
-        whole, plain, long = set(), [], []
-        for w in new:
-            core = w.rstrip(TAIL)
-            low = core.lower()
-            if low.isalpha() and max(core) < PLAIN and max(low) < PLAIN:
-                tail = w[len(core) :]
-                plain.append((w, low, tail))
-                if tail not in self.known:
-                    whole.add(tail)
-            else:
-                whole.add(w)
-            if len(w) > CACHE_CHARS:
-                long.append(w)
-        self.known |= _ids(self.tokenizer, list(whole))
-        self.cores |= _ids(self.letters, list({c for _, c, _ in plain}.difference(self.cores)))
+            new = list(words.difference(self.known))
+        bare = [w.rstrip(TAIL) for w in new]
+        low = [c.lower() for c in bare]
+        plain = [c.isalpha() and (b.isascii() or max(b) < PLAIN > max(c)) for b, c in zip(bare, low)]
+        self.known |= _ids(self.tokenizer, list({w[len(b) :] if p else w for w, b, p in zip(new, bare, plain)}.difference(self.known)))
+        self.cores |= _ids(self.letters, list(set(compress(low, plain)).difference(self.cores)))
         known, cores = self.known, self.cores
-        for w, core, tail in plain:
-            known[w] = cores[core] + known[tail]
+        known |= {w: cores[c] + known[w[len(b) :]] for w, b, c, p in zip(new, bare, low, plain) if p}
         look = known.__getitem__
         yield from [b"".join(map(look, text)) for text in block]
         if len(known) > CACHE_WORDS:
             self.forget()
-        for w in long:
+        for w in [w for w in new if len(w) > CACHE_CHARS]:
             known.pop(w, None)
             cores.pop(w.rstrip(TAIL).lower(), None)
 
