@@ -15,6 +15,7 @@ from .packing import packed
 from .quality import rules
 from .simhash import linked
 from .tokenfile import round_trip
+from .toxicity import scored
 from .urlfilter import judge
 
 #: The public tokenizer file of the token queries, and the id that ends a document.
@@ -28,6 +29,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,6 +60,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_toxicity": op3_toxicity,
     "op5_mix_sources": op5_mix_sources,
     "op6_pack_documents": op6_pack_documents,
     "op7_simhash_groups": op7_simhash_groups,
