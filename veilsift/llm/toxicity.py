@@ -6,11 +6,11 @@ weighted by DECAY to the power of the symbols it spans in both (Lodhi et al. 200
 for equal strings. So inserted characters and gaps lower a likeness but don't end it. A string's features are its
 kernel values with the landmarks times K^(-1/2) of the landmarks (Nyström).
 
-Labels are of documents, read as bags of sentences: a sentence's margin is that of its most toxic string, a document's
-that of its most toxic sentence, so learning alternates between choosing each toxic document's witness string and
+Labels are of documents, read as bags of sentences: a sentence's margin is that of its most toxic string, and a
+document's score weighs its TOP greatest margins (a chance likeness seldom comes twice), so learning alternates between choosing each toxic document's witness string and
 fitting a linear machine on witnesses against all strings of clean documents (MI-SVM; Andrews et al. 2002). Landmarks
 are strings that cover the toxic documents (greedily, by how much more often toxic documents hold them) and the most
-frequent clean strings. A quarter of the sample only fits the logistic curve from margin to score.
+frequent clean strings. A quarter of the sample only fits the logistic curve from margins to score.
 
 The model is fitted on the driver from a bounded sample, TRAIN_TOXIC and TRAIN_CLEAN labelled documents in hash order
 of their ids; it is a few hundred KB. Every text is scored whole, in one pass without a shuffle.
@@ -46,6 +46,8 @@ NEAR, NEAR_MARGIN = 0.2, -0.6
 #: Clean strings with less likeness to every landmark are learned from as one string without any.
 FAR = 0.15
 CLEAN, STRICT = 20.0, 5.0
+#: Margins of a text that its score weighs, and the largest that counts.
+TOP, CUT = 3, 3.0
 THRESHOLD = 0.7
 CACHE = 500_000
 
@@ -60,13 +62,10 @@ for _c in range(128):
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
-def strings(text: bytes) -> set[bytes]:
-    """The distinct strings of a text."""
+def strings(text: bytes) -> list[bytes]:
+    """The strings of a text."""
     lower = text.lower()
-    out = set(lower.split())
-    for run in SPACED.findall(lower):
-        out.add(b"".join(run.split()))
-    return out
+    return lower.split() + [b"".join(run.split()) for run in SPACED.findall(lower)]
 
 
 def core(word: bytes) -> bytes:
@@ -200,7 +199,8 @@ class Model:
     kernel: Kernel
     weights: np.ndarray
     intercept: float
-    curve: tuple[float, float]
+    #: Of a text's greatest margins and of 1.
+    curve: np.ndarray = field(default_factory=lambda: np.array([1.0] + [0.0] * TOP))
 
     def __post_init__(self) -> None:
         # the machine is linear in the kernel values, so each subsequence has one weight
@@ -220,25 +220,26 @@ class Model:
             np.maximum.at(out, owner + at, raw / np.sqrt(np.maximum(norm, 1e-12)) + self.intercept)
         return out
 
-    def scores(self, margins: np.ndarray) -> np.ndarray:
-        a, b = self.curve
-        return 1 / (1 + np.exp(-np.clip(a * margins + b, -500, 500)))
+    def scores(self, tops: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(tops @ self.curve[:-1] + self.curve[-1], -500, 500)))
 
 
-def _curve(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Logistic curve (slope after Platt 1999, targets smoothed, by Newton steps); its slope is kept positive."""
+def _curve(tops: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Logistic weights of the greatest margins, none negative (targets smoothed as by Platt 1999, Newton steps)."""
     n1, n0 = toxic.sum(), (~toxic).sum()
     target = np.where(toxic, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     balance = np.where(toxic, 0.5 / max(n1, 1), 0.5 / max(n0, 1)) * len(toxic)
-    x = np.stack([margins, np.ones(len(margins))], 1)
-    v = np.array([2.0, 0.0])
+    x = np.concatenate([tops, np.ones((len(tops), 1))], 1)
+    prior = np.array([1.0] * TOP + [0.0])
+    v = prior.copy()
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -500, 500)))
-        g = x.T @ (balance * (p - target)) + 1e-3 * (v - np.array([2.0, 0.0]))
-        h = (x * (balance * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        g = x.T @ (balance * (p - target)) + 1e-2 * (v - prior)
+        h = (x * (balance * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(TOP + 1)
         step = np.linalg.solve(h, g)
-        v = v - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-    slope = float(max(v[0], 0.5))
+        v = v - step * min(1.0, 1.0 / max(1e-9, np.abs(step).max()))
+        v[:TOP] = np.maximum(v[:TOP], 0.05)
+    margins = tops @ v[:TOP]
     # THRESHOLD falls in the middle of the margins that part the labels best, clean documents counting STRICT times
     cuts = np.unique(margins)
     cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
@@ -246,7 +247,7 @@ def _curve(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     wrong = 1 - np.searchsorted(np.sort(margins[~toxic]), cuts) / max(n0, 1)
     good = caught - STRICT * wrong
     best = cuts[good >= good.max() - 1e-12]
-    return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * (best[0] + best[-1]) / 2)
+    return np.append(v[:TOP], np.log(THRESHOLD / (1 - THRESHOLD)) - (best[0] + best[-1]) / 2)
 
 
 def _choose(toxic: list[set[bytes]], clean: Counter[bytes], n_clean: int) -> tuple[list[bytes], dict[bytes, float]]:
@@ -333,10 +334,10 @@ def train(texts: list[bytes], toxic: list[bool]) -> Model | None:
             if s:
                 own = np.array([at[w] for w in s])
                 witness[own[margin[own].argmax()]] += 1
-    model = Model(kernel, (root @ v[:-1]).astype(np.float32), float(v[-1]), (2.0, 0.0))
+    model = Model(kernel, (root @ v[:-1]).astype(np.float32), float(v[-1]))
     held = [i for i in range(len(bags)) if i % 4 == 3] if len(bags) >= 40 else fit
-    tops = np.array([max(model.margins(sorted(bags[i])), default=model.intercept) for i in held])
-    model.curve = _curve(tops, np.array([toxic[i] for i in held]))
+    scorer = Scorer(model)
+    model.curve = _curve(scorer.tops([texts[i] for i in held]), np.array([toxic[i] for i in held]))
     return model
 
 
@@ -347,8 +348,9 @@ class Scorer:
         self.model = model
         self.known: dict[bytes, float] = {}
 
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        tops = np.zeros(len(texts))
+    def tops(self, texts: list[bytes]) -> np.ndarray:
+        """The TOP greatest margins of each text's strings; missing ones are the intercept, all are cut to +-CUT."""
+        out = np.full((len(texts), TOP), self.model.intercept)
         at = 0
         while at < len(texts):
             bags, size = [], 0
@@ -365,9 +367,15 @@ class Scorer:
             self.known |= {w: margin[c] for w, c in bare.items()}
             look = self.known.__getitem__
             for i, bag in enumerate(bags):
-                tops[at + i] = max(map(look, bag), default=self.model.intercept)
+                own = np.fromiter(map(look, bag), float, len(bag))
+                if len(own) > TOP:
+                    own = np.partition(own, len(own) - TOP)[-TOP:]
+                out[at + i, : len(own)] = np.sort(own)[::-1]
             at += len(bags)
-        return self.model.scores(tops)
+        return np.clip(out, -CUT, CUT)
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        return self.model.scores(self.tops(texts))
 
 
 def remainder(doc_id: Column) -> Column:
