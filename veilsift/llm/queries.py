@@ -13,6 +13,7 @@ from .htmltext import extracted
 from .mixing import mix
 from .orderminhash import fingerprinted
 from .packing import packed
+from .pitmanyor import scored as language_scores
 from .quality import rules
 from .simhash import linked
 from .tokenfile import round_trip
@@ -30,6 +31,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules(table(spark, sf_dir, "documents"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_toxicity": op3_toxicity,
     "op4_html_text": op4_html_text,
     "op5_mix_sources": op5_mix_sources,
