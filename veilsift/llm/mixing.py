@@ -57,7 +57,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFr
 
 
 def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: str = "mix:") -> DataFrame:
-    """docs (doc_id, text, source) to one row a document: doc_id, source, size, source_size, target, copies, taken."""
+    """docs (doc_id, text, source) to one row a document: doc_id, source, size, source_size, target, copies, taken.
+
+    row_number is the row's monotonically_increasing_id() in docs.
+    """
     narrow = durable(
         docs.select(
             F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), seed).alias("u")
@@ -67,7 +70,6 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), cap: int = 3, se
     facts = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("docs"), F.lit(0))).first()
     buckets = max(256, -(-facts[1] // BUCKET_DOCS))
     targets = durable(source_targets(sizes.drop("docs"), weights, cap))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
 
     t = lookup(targets, facts[0]).alias("t")
     n = narrow.alias("n")
@@ -103,4 +105,4 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), cap: int = 3, se
     f = lookup(last, facts[0]).alias("f")
     out = placed.alias("p").join(f, F.col("p.rid") == F.col("f.rid"), "left")
     copies = (F.col("p.whole") + F.when(F.col("p.taken_once") | F.col("f.rid").isNotNull(), 1).otherwise(0)).cast("long")
-    return out.select("p.doc_id", "p.source", "p.size", "p.source_size", "p.target", copies.alias("copies"), (F.col("p.size") * copies).alias("taken"))
+    return out.select(F.col("p.rid").alias("row_number"), "p.doc_id", "p.source", "p.size", "p.source_size", "p.target", copies.alias("copies"), (F.col("p.size") * copies).alias("taken"))
