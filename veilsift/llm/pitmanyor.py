@@ -280,18 +280,28 @@ def build(count_rows: DataFrame, parts: int) -> DataFrame:
     return rows.withColumn("part", F.col("part").cast("int"))
 
 
+#: Groups in which the shards' sums are added up before the driver gets one row of each.
+SUM_GROUPS = 16
+
+
+def _added(rows: DataFrame, width: int) -> np.ndarray:
+    """The sum of rows' vectors (part, v); the driver gets SUM_GROUPS vectors at most."""
+
+    def add(group: pa.Table) -> pa.Table:
+        return pa.table({"v": pa.array([sum(np.frombuffer(v, "<f8") for v in group["v"].to_pylist()).tobytes()], pa.binary())})
+
+    groups = rows.groupBy(F.pmod("part", F.lit(SUM_GROUPS)).alias("g")).applyInArrow(add, "v binary").collect()
+    return sum((np.frombuffer(bytes(r.v), "<f8") for r in groups), np.zeros(width))
+
+
 def _sum_rows(shards: DataFrame) -> np.ndarray:
-    """The shards' sums(), added up; the driver gets one row of 2 * CONTEXTS + 3 numbers for each of a few groups."""
+    """The shards' sums(), added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s in _shards(batches):
-            v = s.sums()
-            yield pa.record_batch([pa.array(np.arange(len(v))), pa.array(v)], ["k", "v"])
+        for part, s in _shards(batches):
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array(_bytes(s.sums().astype("<f8")), pa.binary())], ["part", "v"])
 
-    out = np.zeros(2 * CONTEXTS + 3)
-    for r in shards.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-        out[r.k] = r.v
-    return out
+    return _added(shards.mapInArrow(run, "part int, v binary"), 2 * CONTEXTS + 3)
 
 
 MODEL = "part int, hash binary, count binary, above binary, first binary, context binary, bonus binary, sums binary"
@@ -427,17 +437,7 @@ def _head(model: DataFrame) -> Rows:
 
 def _sample_sums(model: DataFrame) -> np.ndarray:
     """The samples' sums over all shards."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                v = np.frombuffer(b.column(7)[k].as_py(), "<f8")
-                yield pa.record_batch([pa.array(np.arange(len(v))), pa.array(v)], ["k", "v"])
-
-    out = np.zeros(SAMPLES * (2 * CONTEXTS + 3))
-    for r in model.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-        out[r.k] = r.v
-    return out.reshape(SAMPLES, -1)
+    return _added(model.select("part", F.col("sums").alias("v")), SAMPLES * (2 * CONTEXTS + 3)).reshape(SAMPLES, -1)
 
 
 FOUND = "block long, part int, doc_ids binary, place binary, hash binary, context binary, n binary, tokens binary, known binary, base binary, score binary"
