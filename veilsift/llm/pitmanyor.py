@@ -23,7 +23,7 @@ and every token is unknown with probability 1. An empty table gives an empty res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,37 +41,48 @@ DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 5.0, 0.8, 10.0
 BURN_IN, MORE_BURN_IN, EXACT = 3, 2, 60
 HEAD_ENTRIES, HEAD_WORDS = 1_500_000, 250_000
 #: Words of a worker's cache, characters of text handled at once, and count rows a task aims at.
-CACHE, BLOCK_BYTES, ROWS_A_TASK = 500_000, 4_000_000, 1_000_000
+CACHE, BLOCK_BYTES, ROWS_A_TASK = 700_000, 3_000_000, 1_000_000
+#: Tokens that a task holds before it counts them.
+HELD_TOKENS = 4_000_000
 FOLDS, HELD = 7, 2
 #: Ends a document; no UTF-8 text holds this byte.
 END = b"\xff"
 
 
-class Lexicon:
-    """Words to their hash and, as contexts, their class, through a bounded cache."""
-
-    def __init__(self) -> None:
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.hash = np.zeros(1 << 16, np.int64)
-        self.context = np.zeros(1 << 16, np.int64)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Each word's place in hash and context."""
-        new = set(words).difference(self.at)
-        if len(self.at) + len(new) > CACHE:
-            self.forget()
-            new = set(words)
-        n = len(self.at)
-        while n + len(new) > len(self.hash):
-            self.hash, self.context = np.resize(self.hash, 2 * len(self.hash)), np.resize(self.context, 2 * len(self.context))
-        added = list(new)
-        self.hash[n : n + len(added)] = np.fromiter(map(xxhash.xxh64_intdigest, added), np.uint64, len(added)).view(np.int64)
-        self.context[n : n + len(added)] = np.fromiter((context_of(w) for w in added), np.int64, len(added))
-        self.at.update(zip(added, range(n, n + len(added))))
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+class Lexicon(dict):
+    """Words to places in arrays of their hash, their class as a context, and what `describe` adds; bounded by CACHE.
+
+    `flush` is called before places are given anew.
+    """
+
+    def __init__(self, flush: Callable[[], None] = lambda: None, describe: Callable[[np.ndarray], np.ndarray] | None = None):
+        super().__init__()
+        self.flush, self.describe = flush, describe
+        self.new: list[bytes] = []
+        self.hash, self.context, self.extra = (np.zeros(1 << 16, np.int64) for _ in range(3))
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        self.new.append(word)
+        return place
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Each word's place; new ones are described."""
+        if len(self) > CACHE:
+            self.flush()
+            self.clear()
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        added, self.new = self.new, []
+        if added:
+            n = len(self) - len(added)
+            while len(self) > len(self.hash):
+                self.hash, self.context, self.extra = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.context, self.extra))
+            mine = slice(n, len(self))
+            self.hash[mine] = np.fromiter(map(xxhash.xxh64_intdigest, added), np.uint64, len(added)).view(np.int64)
+            self.context[mine] = np.fromiter(map(context_of, added), np.int64, len(added))
+            if self.describe:
+                self.extra[mine] = self.describe(self.hash[mine])
+        return out
 
 
 def context_of(word: bytes) -> int:
@@ -83,11 +94,15 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+#: Bits of a document's number in a block, and places of a lexicon, where both are packed in one number.
+DOC_BITS, PLACES = 14, 1 << 21
+
+
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
         to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= BLOCK_BYTES):
+        while to < len(texts) and to - at < 1 << DOC_BITS and (to == at or size + len(texts[to]) <= BLOCK_BYTES):
             size += len(texts[to])
             to += 1
         yield at, to
@@ -95,16 +110,19 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def tokens(texts: list[bytes], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens, ends included: hash, context, and the text's number."""
+    """Of all tokens, ends included: place in the lexicon, context, and the text's number."""
     words = (b" " + END + b" ").join([*texts, b""]).lower().split()
-    place = lexicon(words)
-    hashes, contexts = lexicon.hash[place], lexicon.context[place]
-    last = hashes == END_HASH
+    place = lexicon.places(words)
+    contexts = lexicon.context[place]
+    last = place == lexicon.get(END, -1)
     document = np.cumsum(last) - last
-    return hashes, np.concatenate([[0], contexts[:-1]]) if len(contexts) else contexts, document
+    return place, np.concatenate([[0], contexts[:-1]]) if len(contexts) else contexts, document
 
 
-END_HASH = np.array([xxhash.xxh64_intdigest(END)], np.uint64).view(np.int64)[0]
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and how long they are."""
+    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(ordered)))
 
 
 def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,26 +140,32 @@ def counts(docs: DataFrame) -> DataFrame:
     """(hash, context, n) of training tokens, summed within tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon()
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def merged() -> tuple[np.ndarray, ...]:
-            h, c, n = (np.concatenate(x) for x in zip(*held))
-            order, start = grouped(h, c)
-            return h[order][start], c[order][start], np.add.reduceat(n[order], start)
-
+        held: list[np.ndarray] = []
+        ready: list[pa.RecordBatch] = []
+
+        def flush() -> None:
+            if held:
+                keys = np.sort(np.concatenate(held))
+                held.clear()
+                start, n = runs(keys)
+                keys = keys[start]
+                h, c = lexicon.hash[keys // CONTEXTS], keys % CONTEXTS
+                for at in range(0, len(h), 100_000):
+                    s = slice(at, at + 100_000)
+                    ready.append(pa.record_batch([pa.array(h[s]), pa.array(c[s].astype(np.int16)), pa.array(n[s].astype(np.int32))], ["hash", "context", "n"]))
+
+        lexicon = Lexicon(flush)
         for b in batches:
             texts = _texts(b.column(0))
             for a, z in _blocks(texts):
-                h, c, _ = tokens(texts[a:z], lexicon)
-                if len(h):
-                    held.append((h, c, np.ones(len(h), np.int64)))
-                    held[:] = [merged()] if sum(len(x[0]) for x in held) > 4_000_000 else held
-        if held:
-            h, c, n = merged()
-            for at in range(0, len(h), 100_000):
-                s = slice(at, at + 100_000)
-                yield pa.record_batch([pa.array(h[s]), pa.array(c[s].astype(np.int16)), pa.array(n[s].astype(np.int32))], ["hash", "context", "n"])
+                place, context, _ = tokens(texts[a:z], lexicon)
+                held.append(place * CONTEXTS + context)
+                if sum(map(len, held)) > HELD_TOKENS:
+                    flush()
+            yield from ready
+            ready.clear()
+        flush()
+        yield from ready
 
     return docs.select("text").mapInArrow(run, "hash long, context smallint, n int")
 
@@ -162,7 +186,10 @@ def stirling(most: int, discount: float) -> np.ndarray:
 def seat(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish: c its customers, others the restaurant's tables of other dishes, base its probability above."""
     out = np.minimum(c, 1)
-    for size in np.unique(c[(c > 1) & (c <= EXACT)]):
+    sizes = np.bincount(np.minimum(c, EXACT + 1), minlength=EXACT + 2)
+    for size in np.flatnonzero(sizes[: EXACT + 1])[0 if not sizes[0] else 1 :]:
+        if size < 2:
+            continue
         rows = np.flatnonzero(c == size)
         for at in range(0, len(rows), 200_000):
             r = rows[at : at + 200_000]
@@ -210,23 +237,33 @@ class Shard:
     tables: np.ndarray
     root: np.ndarray
 
+    def __post_init__(self) -> None:
+        # single customers always have one table; only the others are reseated
+        self.many = np.flatnonzero(self.n > 1)
+        self.customers = np.bincount(self.context, self.n, CONTEXTS)
+        self.seated = np.bincount(self.context, self.tables, CONTEXTS)
+        self.sent = np.bincount(self.word, self.tables, len(self.hash)).astype(np.int64)
+
     def sums(self) -> np.ndarray:
         """Customers of each context, tables of each, parent's customers and tables, words."""
-        customers = np.bincount(self.context, self.n, CONTEXTS)
-        tables = np.bincount(self.context, self.tables, CONTEXTS)
-        return np.concatenate([customers, tables, [self.tables.sum(), self.root.sum(), len(self.hash)]])
+        return np.concatenate([self.customers, self.seated, [self.sent.sum(), self.root.sum(), len(self.hash)]])
 
     def sweep(self, totals: Totals, rng: np.random.Generator, leaf: np.ndarray, top: np.ndarray) -> None:
         """Reseat every dish once; totals follow."""
-        own = np.bincount(self.word, self.tables, len(self.hash))
-        base = np.full(len(self.hash), 1.0 / (totals.words + 1))
-        above = (own - ROOT_DISCOUNT * self.root + (ROOT_STRENGTH + ROOT_DISCOUNT * totals.root_tables) * base) / (ROOT_STRENGTH + totals.root_customers)
-        before = np.bincount(self.context, self.tables, CONTEXTS)
-        self.tables = seat(self.n, np.maximum(0, totals.tables[self.context] - self.tables), above[self.word], DISCOUNT, STRENGTH, leaf, rng)
-        totals.tables = totals.tables + np.bincount(self.context, self.tables, CONTEXTS) - before
-        customers = np.bincount(self.word, self.tables, len(self.hash)).astype(np.int64)
-        root = seat(customers, np.maximum(0, totals.root_tables - self.root), base, ROOT_DISCOUNT, ROOT_STRENGTH, top, rng)
-        totals.root_customers += float(customers.sum() - own.sum())
+        base = 1.0 / (totals.words + 1)
+        m, context, word = self.many, self.context[self.many], self.word[self.many]
+        above = (self.sent[word] - ROOT_DISCOUNT * self.root[word] + (ROOT_STRENGTH + ROOT_DISCOUNT * totals.root_tables) * base) / (ROOT_STRENGTH + totals.root_customers)
+        old = self.tables[m]
+        new = seat(self.n[m], np.maximum(0, totals.tables[context] - old), above, DISCOUNT, STRENGTH, leaf, rng)
+        self.tables[m] = new
+        change = np.bincount(context, new - old, CONTEXTS)
+        self.seated = self.seated + change
+        totals.tables = totals.tables + change
+        self.sent = self.sent + np.bincount(word, new - old, len(self.hash)).astype(np.int64)
+        totals.root_customers += float((new - old).sum())
+        r = np.flatnonzero(self.sent > 1)
+        root = np.minimum(self.sent, 1)
+        root[r] = seat(self.sent[r], np.maximum(0, totals.root_tables - self.root[r]), np.full(len(r), base), ROOT_DISCOUNT, ROOT_STRENGTH, top, rng)
         totals.root_tables += float(root.sum() - self.root.sum())
         self.root = root
 
@@ -248,7 +285,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Shard]]:
     for b in batches:
         for k in range(b.num_rows):
             part, *raw = (b.column(i)[k].as_py() for i in range(7))
-            arrays = [np.frombuffer(x, kind).astype(np.int64) for x, kind in zip(raw, KINDS)]
+            arrays = [np.frombuffer(x, kind).astype(np.int64) for x, kind in zip(raw, KINDS)]  # own, writable arrays
             yield part, Shard(*arrays)
 
 
@@ -319,13 +356,14 @@ def sample(shards: DataFrame, totals: np.ndarray) -> DataFrame:
             now = _totals(start)
             for _ in range(MORE_BURN_IN):
                 s.sweep(now, rng, leaf, top)
-            above, bonus, sums = [], np.zeros(len(s.n)), []
+            above, tables, sums = [], np.zeros(len(s.many)), []
             for _ in range(SAMPLES):
                 s.sweep(now, rng, leaf, top)
-                customers = np.bincount(s.word, s.tables, len(s.hash))
-                above.append(customers - ROOT_DISCOUNT * s.root)
-                bonus += (s.n - DISCOUNT * s.tables) / SAMPLES
+                above.append(s.sent - ROOT_DISCOUNT * s.root)
+                tables += s.tables[s.many] / SAMPLES
                 sums.append(s.sums())
+            bonus = s.n - DISCOUNT
+            bonus[s.many] = s.n[s.many] - DISCOUNT * tables
             count = np.bincount(s.word, s.n, len(s.hash))
             first = np.searchsorted(s.word, np.arange(len(s.hash) + 1))
             row = _bytes(s.hash, count.astype("<i8"), np.stack(above, 1).astype("<f4"), first.astype("<i4"), s.context.astype("<i2"), bonus.astype("<f4"), np.stack(sums))
@@ -449,31 +487,41 @@ def _looked_up(docs: DataFrame, head: Rows, p: Predictive, parts: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, predictive = shared.value
-        lexicon = Lexicon()
+
+        def describe(hashes: np.ndarray) -> np.ndarray:
+            """A word's head row, or the shard that holds it, as -1 - shard."""
+            at, there = rows.find(hashes)
+            return np.where(there, at, -1 - part_of(hashes, parts))
+
+        lexicon = Lexicon(describe=describe)
         block = TaskContext.get().partitionId() << 32
         names = [c.split()[0] for c in FOUND.split(", ")]
         for b in batches:
             texts = _texts(b.column(1))
             ids = b.column(0).to_pylist()
             for a, z in _blocks(texts):
-                h, c, d = tokens(texts[a:z], lexicon)
-                n = z - a
-                at, there = rows.find(h)
-                score, base = rows.score(at[there], there[there], c[there], predictive)
-                own = d[there]
-                sums = [np.bincount(d, minlength=n), np.bincount(own, minlength=n), np.bincount(own, base, n), np.bincount(own, score, n)]
+                place, context, d = tokens(texts[a:z], lexicon)
+                row, n = lexicon.extra[place], z - a
+                head = row >= 0
+                # head words by (row, context, document), each pair scored once
+                # a block of one long text has no document number to pack, but maybe more words
+                bits, places = (DOC_BITS, PLACES) if n > 1 else (0, PLACES << DOC_BITS)
+                order = np.sort(((row[head] * CONTEXTS + context[head]) << bits) | d[head])
+                own, key = order & ((1 << bits) - 1), order >> bits
+                start, length = runs(key)
+                key = key[start]
+                score, base = rows.score(key // CONTEXTS, np.ones(len(key), bool), key % CONTEXTS, predictive)
+                sums = [np.bincount(d, minlength=n), np.bincount(own, minlength=n), np.bincount(own, np.repeat(base, length), n), np.bincount(own, np.repeat(score, length), n)]
                 made: list[list] = [[block, -1, np.array([0 if i is None else i for i in ids[a:z]], "<i8").tobytes() + bytes(i is not None for i in ids[a:z]), *[b""] * 4, *_bytes(*(s.astype(k) for s, k in zip(sums, ("<i8", "<i8", "<f8", "<f8"))))]]
-                rest = np.flatnonzero(~there)
-                if len(rest):
-                    hr, cr, dr = h[rest], c[rest], d[rest]
-                    to = part_of(hr, parts)
-                    order, start = grouped(to, hr, cr, dr)
-                    many = np.diff(np.append(start, len(order)))
-                    first = order[start]
-                    edge = np.flatnonzero(np.diff(to[first], prepend=-1))
-                    for x, y in zip(edge, np.append(edge[1:], len(first))):
-                        f = first[x:y]
-                        made.append([block, int(to[f[0]]), b"", *_bytes(dr[f].astype("<u4"), hr[f], cr[f].astype("<i2"), many[x:y].astype("<u4")), *[b""] * 4])
+                rest = ~head
+                order = np.sort((((-1 - row[rest]) * places + place[rest]) * CONTEXTS + context[rest] << bits) | d[rest])
+                start, many = runs(order)
+                order = order[start]
+                own, key = order & ((1 << bits) - 1), order >> bits
+                word, to = key // CONTEXTS % places, key // CONTEXTS // places
+                edge, size = runs(to)
+                for x, y in zip(edge, edge + size):
+                    made.append([block, int(to[x]), b"", *_bytes(own[x:y].astype("<u4"), lexicon.hash[word[x:y]], (key[x:y] % CONTEXTS).astype("<i2"), many[x:y].astype("<u4")), *[b""] * 4])
                 columns = list(zip(*made))
                 yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(x, pa.binary()) for x in columns[2:])], names)
                 block += 1
@@ -493,7 +541,7 @@ def scored(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD, F.lit(False))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (20 * ROWS_A_TASK) + 1)
+    parts = min(1 << 17, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (20 * ROWS_A_TASK) + 1))
     shards = durable(build(counts(texts.where(~held)), parts))
     model = durable(sample(shards, _sum_rows(shards)))
     p = Predictive.of(_sample_sums(model))

@@ -12,8 +12,8 @@ fitting a linear machine on witnesses against all strings of clean documents (MI
 are strings that cover the toxic documents (greedily, by how much more often toxic documents hold them) and the most
 frequent clean strings. A quarter of the sample only fits the logistic curve from margins to score.
 
-The model is fitted on the driver from a bounded sample, TRAIN_TOXIC and TRAIN_CLEAN labelled documents in hash order
-of their ids; it is a few hundred KB. Every text is scored whole, in one pass without a shuffle.
+The model is fitted in one task from a bounded sample, TRAIN_TOXIC and TRAIN_CLEAN labelled documents in hash order of
+their ids; it is a few MB and comes back to the driver. Every text is scored whole, in one pass without a shuffle.
 
 Nulls: a null text is empty; a text without strings scores as its intercept (near 0). Labels that are null, or whose
 documents are missing, are not used; a document with several labels is toxic if one says so. Without documents of both
@@ -22,6 +22,7 @@ labels to learn from, every score is 0. Repeated rows are scored each. Extra col
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -282,7 +283,8 @@ def _choose(toxic: list[set[bytes]], clean: Counter[bytes], n_clean: int) -> tup
 
 def train(texts: list[bytes], toxic: list[bool]) -> Model | None:
     """A model of labelled texts; None if a label is missing."""
-    bags = [set(map(core, strings(t))) - {b""} for t in texts]
+    same: dict[bytes, bytes] = {}
+    bags = [{same.setdefault(c, c) for c in map(core, strings(t)) if c} for t in texts]
     fit = [i for i in range(len(bags)) if i % 4 != 3] if len(bags) >= 40 else list(range(len(bags)))
     bad, good = [bags[i] for i in fit if toxic[i]], [bags[i] for i in fit if not toxic[i]]
     if not bad or not good:
@@ -302,12 +304,17 @@ def train(texts: list[bytes], toxic: list[bool]) -> Model | None:
     kn = kernel(negatives)
     far = kn.max(1) < FAR
     zn = np.concatenate([ones(kn[~far].astype(float)), ones(np.zeros((1, kn.shape[1])))])
+    del kn
     negative_weight = np.append(np.ones(int((~far).sum())), float(far.sum()))
     negative_weight /= negative_weight.sum()
-    candidates = [sorted(w for w in s if len(w) > 2) for s in bad]
-    known = sorted(set().union(*candidates))
+    known = sorted(w for w in set().union(*bad) if len(w) > 2)
+    kp = kernel(known)
+    close = kp.max(1) >= FAR  # others can't be witnesses
+    known = [w for w, c in zip(known, close) if c]
+    zp = ones(kp[close].astype(float))
     at = {w: i for i, w in enumerate(known)}
-    zp = ones(kernel(known).astype(float))
+    candidates = [sorted(w for w in s if w in at) for s in bad]
+    del kp
     start = np.array([odds.get(w, 0.0) for w in known])
     first = np.zeros(len(known))
     for s in candidates:  # at first, each document's likeliest string
@@ -389,10 +396,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
     sample = marked.where("toxic = 1").orderBy(order, "doc_id").limit(TRAIN_TOXIC).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(TRAIN_CLEAN))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").toArrow()  # at most the sample
-    rows = sorted(zip(rows.column(0).to_pylist(), rows.column(2).cast(pa.large_binary()).to_pylist(), rows.column(1).to_pylist()))
-    shuffled = np.random.default_rng(7).permutation(len(rows))
-    return train([rows[i][1] for i in shuffled], [rows[i][2] == 1 for i in shuffled])
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((d, t, y == 1) for b in batches for d, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()))
+        shuffled = np.random.default_rng(7).permutation(len(rows))
+        model = train([rows[i][1] for i in shuffled], [rows[i][2] for i in shuffled])
+        if model:
+            yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    chosen = texts.join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text").repartition(1)
+    made = chosen.mapInArrow(run, "model binary").collect()  # one row
+    return pickle.loads(bytes(made[0].model)) if made else None
 
 
 def add_scores(docs: DataFrame, model: Model | None, keep: dict[str, Column]) -> DataFrame:
