@@ -20,7 +20,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words kept in a worker's cache, the longest kept (characters), and the characters of text encoded at a time.
-CACHE_WORDS, CACHE_CHARS, BLOCK_CHARS = 1_200_000, 40, 2_000_000
+CACHE_WORDS, CACHE_CHARS, BLOCK_CHARS = 800_000, 40, 2_000_000
 TAIL, PLAIN = ".,;:!?", "\u0250"
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import give_back, ship
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 2500
 LANDMARKS, NEUTRAL = 96, 32
@@ -50,7 +50,7 @@ CLEAN, STRICT = 20.0, 5.0
 #: Margins of a text that its score weighs, and the largest that counts.
 TOP, CUT = 3, 3.0
 THRESHOLD = 0.7
-CACHE = 500_000
+CACHE = 250_000
 
 SPACED = re.compile(rb"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D\x80-\xff][\x20\x09-\x0D]+){2,}[^\x20\x09-\x0D\x80-\xff](?![^\x20\x09-\x0D])")
 EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
@@ -402,6 +402,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         rows = sorted((d, t, y == 1) for b in batches for d, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()))
         shuffled = np.random.default_rng(7).permutation(len(rows))
         model = train([rows[i][1] for i in shuffled], [rows[i][2] for i in shuffled])
+        del rows
+        give_back()
         if model:
             yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
@@ -422,6 +424,8 @@ def add_scores(docs: DataFrame, model: Model | None, keep: dict[str, Column]) ->
             texts = [t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()]
             scores = scorer(texts) if scorer else np.zeros(len(texts))
             yield pa.record_batch([*b.columns[1:], pa.array(scores)], [*b.schema.names[1:], "score"])
+        del scorer
+        give_back()
 
     return source.mapInArrow(run, source.drop("text").schema.add("score", "double"))
 
