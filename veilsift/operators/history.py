@@ -54,6 +54,7 @@ def merge_spans(spans: DataFrame, *keys: str) -> DataFrame:
     """(keys, start, end) to disjoint spans; touching ones are one."""
     by = W.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
-    marked = spans.where(F.col("end") > F.col("start")).withColumn("island", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0))
+    distinct = spans.where(F.col("end") > F.col("start")).select(*keys, "start", "end").distinct()  # no ties in the windows
+    marked = distinct.withColumn("island", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0))
     numbered = marked.withColumn("island", F.sum("island").over(by.rowsBetween(W.unboundedPreceding, 0)))
     return numbered.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")

@@ -498,7 +498,7 @@ def line_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(lines, lambda x: F.length(x) > 500)).cast("long").alias("long_lines"), F.length(F.array_join(F.transform(lines, lambda x: F.substr(x, F.lit(1), F.lit(500))), "\n")).cast("long").alias("kept"))
 
 
-_SPANS = "SELECT l_orderkey AS id, l_linenumber * 7 % 40 AS \"start\", l_linenumber * 7 % 40 + l_quantity::INT % 9 AS \"end\" FROM lineitem"
+_SPANS = "SELECT DISTINCT l_orderkey AS id, l_linenumber * 7 % 40 AS \"start\", l_linenumber * 7 % 40 + l_quantity::INT % 9 AS \"end\" FROM lineitem"
 
 
 @query(
