@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back, ship
 
-TRAIN_TOXIC, TRAIN_CLEAN = 2000, 2500
+TRAIN_TOXIC, TRAIN_CLEAN = 1200, 1500
 LANDMARKS, NEUTRAL = 96, 32
 DECAY, SPAN = 0.75, 8
 #: Symbols of a string compared at once; longer ones are cut into overlapping pieces.
