@@ -67,6 +67,41 @@ def test_one_of_each_group_stays(spark, monkeypatch, leaders):
     assert dedup.one_of_each(durable(df.where("false"))).count() == 0
 
 
+def star(n):
+    """A text, and copies near to it but not to each other."""
+    rng = np.random.default_rng(8)
+    base = [f"word{i}" for i in range(200)]
+    out = [base]
+    for k in range(n):
+        copy = list(base)
+        for at in rng.choice(np.arange(5, 195, 6), 4, replace=False):
+            copy[at] = f"new{k}"
+        out.append(copy)
+    return [out[k] for k in np.random.default_rng(1).permutation(len(out))]
+
+
+def chain(n):
+    """Texts near only to the ones before and after."""
+    words = [f"word{i}" for i in range(200 + 20 * n)]
+    return [words[20 * k : 20 * k + 200] for k in np.random.default_rng(9).permutation(n)]
+
+
+@pytest.mark.parametrize("block", [1024, 50])
+@pytest.mark.parametrize("shape", [star, chain])
+def test_large_groups_are_settled_in_full(spark, monkeypatch, shape, block):
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    rows = [(k, " ".join(words), "en", "s", 1, "r") for k, words in enumerate(shape(200))] + [(900, "alone " + " ".join(f"other{i}" for i in range(200)), "en", "s", 1, "r")]
+    want = groups(rows)
+    assert len(want) == 2
+    df = durable(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    # one candidate group of all texts
+    firsts = durable(df.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.lit(1).cast("long").alias("fp")))
+    roots = dedup.components(dedup.near_links(df, firsts)).join(firsts, F.col("node") == F.col("rid"))
+    inside = roots.select("doc_id", "root").collect()
+    assert len({r.root for r in inside}) == 1
+    assert sorted(r.doc_id for r in inside) == sorted(max(want, key=len))
+
+
 def test_null_ids(spark):
     df = durable(spark.createDataFrame([(None, "a b c d e f", "en", "s", 1, ""), (4, "A b c d e f", "en", "s", 1, ""), (None, "", "en", "s", 1, "")], SCHEMA))
     assert sorted(str(r.doc_id) for r in dedup.one_of_each(df).collect()) == ["4", "None"]
