@@ -16,6 +16,11 @@ FOOT = "<footer>&copy; nobody, a long line of words that closes the page as ever
         (f"<body><div class='cookie-notice'>We use cookies, as everybody does, for many reasons.</div><main><section><p>{P1}</p></section><section><p>{P2}</p></section></main>", TEXT),
         (f"<article><p>{P1}<br></p><form><input><button>Go</button> a form's text</form><p>{P2}</p></article>", TEXT),
         (f"<article><p>{P1}</p><!-- never <p>closed --><aside>beside</aside><p>{P2}</p><div class=ad>Buy</div>", TEXT),
+        (f"<article><p>{P1}</p><svg class='icon'/><math/><p>{P2}</p></article>", TEXT),
+        (f"<article><p>{P1}</p><div><video src=v><object data=o></div><p>{P2}</p></article>", TEXT),
+        (f"<body><p>{P1}</p><video><p>{P2}</p>", TEXT),
+        (f"<article><p>{P1}</p><svg><g><text>drawn</text></g></svg><noscript><p>none</p></noscript><p>{P2}</p></article>", TEXT),
+        (f"<title>T<body><p>{P1}</p><p>{P2}</p>", TEXT),
         ("just   some\n text", "just some text"),
         ("<p>a<p>b", "a\nb"),
         ("<p>x &am", "x &am"),

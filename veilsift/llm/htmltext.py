@@ -30,8 +30,10 @@ from .common import ship
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not markup; all but the first two could show text, but none is the article's.
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video select".split())
+#: Elements whose content is text up to their end tag.
+TEXT = frozenset("script style textarea title".split())
+#: Elements whose content goes if their own end tag closes them; all but the first two could show text, but none is the article's.
+RAW = TEXT | frozenset("noscript template iframe svg math object canvas audio video select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 #: Tags that only format their block's text are no nodes of their own in the densities.
 FORMAT = INLINE | {"br"}
@@ -57,10 +59,11 @@ HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|aria-hidden\s*=
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "aside")
+    __slots__ = ("tag", "parent", "parts", "aside", "closed")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool = False):
         self.tag, self.parent, self.aside = tag, parent, aside
+        self.closed = False  # by its own end tag
         self.parts: list[Node | str] = []
 
 
@@ -80,6 +83,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
     """The root and all nodes, parents before children."""
     root = Node("#root", None)
     nodes, stack, at, open_tags = [root], [root], 0, {"#root": 1}
+    endless: set[str] = set()  # text elements that have no end tag any more
 
     def close_to(depth: int) -> None:
         while len(stack) > depth:
@@ -95,6 +99,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         if m[1] or m[4]:
             if open_tags.get(tag):
                 depth = max(i for i in range(len(stack)) if stack[i].tag == tag)
+                stack[depth].closed = True
                 close_to(depth)
             elif tag == "p":
                 stack[-1].parts.append(Node("p", stack[-1]))
@@ -105,7 +110,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         if tag in CLOSES:
             closed, stop = CLOSES[tag]
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stop:
+                if stack[i].tag in stop or stack[i].tag in RAW:
                     break
                 if stack[i].tag in closed:
                     close_to(i)
@@ -116,9 +121,14 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         node = Node(tag, stack[-1], _names_itself(tag, attributes))
         stack[-1].parts.append(node)
         nodes.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-            at = end.end() if end else len(html)
+        if tag in TEXT and not attributes.endswith("/"):
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            if end:
+                node.closed, at = True, end.end()
+            else:
+                endless.add(tag)
+                if tag in ("script", "style"):  # cut off: code to the page's end
+                    node.closed, at = True, len(html)
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
             open_tags[tag] = open_tags.get(tag, 0) + 1
@@ -161,7 +171,7 @@ def _density(c: list[int], share: float) -> float:
 def _skipped(nodes: list[Node], asides: bool) -> set[int]:
     out: set[int] = set()
     for n in nodes:
-        if n.tag in RAW or n.tag in CONTROLS or asides and n.aside or n.parent is not None and id(n.parent) in out:
+        if n.tag in RAW and n.closed or n.tag in CONTROLS or asides and n.aside or n.parent is not None and id(n.parent) in out:
             out.add(id(n))
     return out
 
