@@ -21,6 +21,7 @@ FOOT = "<footer>&copy; nobody, a long line of words that closes the page as ever
         (f"<body><p>{P1}</p><video><p>{P2}</p>", TEXT),
         (f"<article><p>{P1}</p><svg><g><text>drawn</text></g></svg><noscript><p>none</p></noscript><p>{P2}</p></article>", TEXT),
         (f"<title>T<body><p>{P1}</p><p>{P2}</p>", TEXT),
+        ("<body>" + f"<section>{'<p>' + 'text ' * 60 + '</p>'}</section>".replace("</section>", ("<p>" + "text " * 60 + "</p>") * 9 + "</section>") * 2 + "</body>", "\n".join(["text " * 59 + "text"] * 20)),
         ("just   some\n text", "just some text"),
         ("<p>a<p>b", "a\nb"),
         ("<p>x &am", "x &am"),

@@ -3,8 +3,7 @@
 Every node of a page's tree gets its characters C, tags T, link characters LC and link tags LT; its density is C / T
 times a logarithm that falls with the share of links and whose base is adjusted by the page's own share. A node's sum is
 that of its children's densities. The subtree of the greatest sum is the content; the least density on its path to the
-body is the threshold above which its ancestors' other subtrees (below the body) are content, too, unless they are
-mostly links. Scripts, styles, forms, navigation, headers, footers, asides and elements that name themselves adverts,
+body is the threshold above which its ancestors' other subtrees are content, too, unless they are mostly links. Scripts, styles, forms, navigation, headers, footers, asides and elements that name themselves adverts,
 notices, menus, comments and the like by class, id or role are cut out first; if nothing is left without them, only
 scripts, styles and form controls are.
 
@@ -203,8 +202,6 @@ def _content(nodes: list[Node], skip: set[int]) -> list[Node]:
     threshold = min(density[id(n)] for n in path)
     out = [best]
     for below, above in zip(path, path[1:]):
-        if above is body:
-            break
         for p in above.parts:
             if isinstance(p, Node) and p is not below and id(p) in density and density[id(p)] >= threshold and 2 * counts[id(p)][2] < max(1, counts[id(p)][0]):
                 out.append(p)
