@@ -102,3 +102,27 @@ def test_empty_and_extra_columns(spark):
     assert S.linked(empty).collect() == []
     df = spark.createDataFrame([(1, "a b c", "x", 9), (None, "a b c", "y", 8)], "doc_id long, text string, fp string, component_id int")
     assert {(r.doc_id, r.component_id) for r in S.linked(df).collect()} == {(1, 1), (None, 1)}
+
+
+def test_wide_search_meets_every_pair_within_its_radius(spark):
+    rng = np.random.default_rng(4)
+    bits, lanes = 24 * 12, 5
+    one = rng.integers(0, 2, (150, bits), np.uint8)
+    rows = list(one)
+    for r in one:
+        for _ in range(3):
+            near = r.copy()
+            near[rng.choice(bits, rng.integers(1, 40), replace=False)] ^= 1
+            rows.append(near)
+    rows += [one[0]] * 70  # a bucket that is compared row by row
+    raw = [np.packbits(np.concatenate([r, np.zeros(64 * lanes - bits, np.uint8)]), bitorder="little").tobytes() for r in rows]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(raw)], "rid long, fp binary")
+    root = {r.node: r.root for r in S.components(S.wide_links(df, 24, 12, 19, 40)).collect()}
+    for i in range(len(rows)):
+        for j in range(i):
+            d = int((rows[i] != rows[j]).sum())
+            if d <= 19:
+                assert root[i] == root[j]
+            elif d > 100:
+                assert root.get(i, -1) != root.get(j, -2)
+    assert S.components(S.wide_links(df.where("false"), 24, 12, 19, 20)).count() == 0

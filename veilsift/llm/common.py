@@ -7,11 +7,14 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^ \t-\r]+"
@@ -21,36 +24,73 @@ BROADCAST_ROWS = 100_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name below the cluster's shared checkpoint folder; only where none is set, one of our own."""
+    """A new folder name below the cluster's shared checkpoint folder; without one, in local mode only, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/veilsift-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/veilsift-{uuid.uuid4().hex}"
+    for folders in _temporary[-1:]:
+        folders.append(path)
+    return path
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: Folders made within each open `temporary` block.
+_temporary: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders made within are deleted at the end: write what is to stay with durable() of an enclosing block."""
+    _temporary.append([])
+    try:
+        yield
+    finally:
+        for folder in _temporary.pop():
+            _delete(spark, folder)
+
+
+def durable(df: DataFrame, path: str | None = None) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: cuts the lineage and outlives lost executors."""
-    path = scratch_dir(df.sparkSession)
+    path = path or scratch_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_scratch(df: DataFrame) -> None:
     """Delete the files behind a durable() frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/veilsift-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package by the driver's path."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    """Let Python workers import this package: by path in local mode, by an archive that Spark sends elsewhere."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parents[2]
+    if context.master.partition("[")[0] == "local":
+        env = context.environment
+        if str(root) not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root), env.get("PYTHONPATH", "")]))
+    elif not any(f.startswith("veilsift-code-") for f in context._python_includes):
+        archive = Path(tempfile.mkdtemp()) / f"veilsift-code-{uuid.uuid4().hex}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted((root / "veilsift").rglob("*.py")):
+                z.write(file, file.relative_to(root))
+        context.addPyFile(str(archive))
+
+
+def integer_ids(docs: DataFrame) -> None:
+    """Refuse a doc_id that is not of an integer type."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be of an integer type, not {kind.simpleString()}")
 
 
 def give_back() -> None:

@@ -8,7 +8,8 @@ All distinct fingerprints are then indexed and probed, and every candidate is ve
 
 Equal fingerprints are merged first, so groups of copies of any size cost one row. A task compares its probes with its
 index rows in chunks of CHUNK pairs and keeps a spanning forest of the links found, so a bucket of g fingerprints
-emits fewer than g links a task. Buckets above HOT fingerprints are salted: their index rows are repeated for each
+emits fewer than g links a task. `wide_links` is the same search for fingerprints of hundreds of bits, whose partitions
+grow with the logarithm of the table and are probed at threshold 0 or not at all. Buckets above HOT fingerprints are salted: their index rows are repeated for each
 salt and their probes spread over the salts.
 
 Nulls: a null text has no words; fingerprint zero. Null ids take part, but do not become a component's id unless all
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, ship
+from .common import BROADCAST_ROWS, durable, lookup, ship
 from .components import components
 
 SAMPLE = 20_000
@@ -35,6 +36,9 @@ HOT = 50_000
 ROWS_A_TASK = 500_000
 #: Hashes whose bits are counted at once.
 HASHES = 1 << 16
+#: Of wide fingerprints: words counted at once, fingerprints that choose the partitions, rows of a bucket whose pairs are
+#: compared at once, and rows of one that is linked unseen.
+WORD_BLOCK, WIDE_SAMPLE, SMALL, HOT_BUCKET = 1 << 14, 5_000, 64, 20_000
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -277,6 +281,181 @@ def links(distinct: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+class _Places(dict):
+    """Words to places in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
+
+
+def word_fingerprints(texts: list[list[bytes]], bits: int, longest: int) -> list[bytes]:
+    """Fingerprints of that many bits of texts' words; a word weighs the root of its count times its length up to `longest`."""
+    lanes = -(-bits // 64)
+    places = _Places()
+    flat = np.fromiter(map(places.__getitem__, (w for words in texts for w in words)), np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    words = list(places)
+    key, count = np.unique(owner * max(1, len(words)) + flat, return_counts=True)
+    place = key % max(1, len(words))
+    weight = (np.sqrt(count) * np.minimum(np.fromiter(map(len, words), np.int64, len(words)), longest)[place]).astype(np.float32)
+    # lane k of a word's bits is its hash after k steps of a 64-bit mixer
+    x = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words))[:, None] + np.arange(lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    table = (x ^ (x >> np.uint64(31))).view(np.uint8).reshape(len(words), 8 * lanes)
+    cuts = np.searchsorted(key, np.arange(len(texts) + 1) * max(1, len(words)))
+    out = []
+    for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        sums = np.zeros(64 * lanes, np.float32)
+        for at in range(start, end, WORD_BLOCK):
+            to = min(end, at + WORD_BLOCK)
+            sums += weight[at:to] @ np.unpackbits(table[place[at:to]], axis=1, bitorder="little").astype(np.float32)
+        out.append(np.packbits(2 * sums > weight[start:end].sum(), bitorder="little").tobytes())
+    return out
+
+
+def allocate_wide(sample: np.ndarray, parts: int, bits: int, k: int) -> list[np.ndarray]:
+    """The bits of the partitions to probe, each at threshold 0: dynamic programming picks thresholds of 0 or -1 that add
+    up, each plus 1, to k + 1 at the least number of expected candidates. sample: rows of 0 and 1."""
+    n = len(sample)
+    x = sample.astype(np.float32)
+    x -= x.mean(0) if n else 0
+    sd = np.sqrt((x * x).sum(0))
+    corr = np.abs(x.T @ x) / np.maximum(np.outer(sd, sd), 1e-6)
+    free, groups = np.ones(parts * bits, bool), []
+    for _ in range(parts):  # each starts with the freest bit and takes its most correlated
+        tie = corr[:, free].sum(1)
+        group: list[int] = []
+        for _ in range(bits):
+            best = int(np.where(free, tie, -1.0).argmax())
+            tie = corr[:, best].copy() if not group else tie + corr[:, best]
+            group.append(best)
+            free[best] = False
+        groups.append(np.array(sorted(group)))
+    shares = []
+    for g in groups:
+        _, count = np.unique(np.packbits(sample[:, g], axis=1), axis=0, return_counts=True) if n else (None, np.zeros(0))
+        shares.append(max(2.0**-bits, float((count * (count - 1.0)).sum()) / max(1.0, n * (n - 1.0))))
+    # table[u]: least expected candidates of u probed partitions
+    table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    for p, share in enumerate(shares):
+        for used in sorted(table, reverse=True):
+            cost, chosen = table[used]
+            if used <= k and (used + 1 not in table or cost + share < table[used + 1][0]):
+                table[used + 1] = (cost + share, [*chosen, p])
+    return [groups[p] for p in table[k + 1][1]]
+
+
+def _bucket_links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a spanning forest of the rows (of 64-bit words) that differ in at most `most` bits."""
+    label = np.arange(len(fps))
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+
+    def reach(i: int) -> None:
+        """Join all components that have a row near row i."""
+        others = np.flatnonzero(label != label[i])
+        near = others[np.bitwise_count(fps[others] ^ fps[i]).sum(1) <= most]
+        parts, first = np.unique(label[near], return_index=True)
+        a.append(np.full(len(first), i))
+        b.append(near[first])
+        label[np.isin(label, parts)] = label[i]
+
+    reach(0)
+    values, count = np.unique(label, return_counts=True)
+    for i in np.flatnonzero(label != values[count.argmax()]):  # of two rows apart, one is outside the largest component
+        reach(int(i))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _wide_pairs(key: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of near rows of equal keys; a forest of them in buckets above SMALL rows. Rows are in order of key."""
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(start, len(key)))
+    for s, n in zip(start[size > SMALL], size[size > SMALL]):
+        a, b = _bucket_links(fps[s : s + n], most)
+        yield s + a, s + b
+    # pairs of small buckets: every row with the later ones of its bucket
+    later = np.repeat(np.where(size > SMALL, 0, start + size), size) - np.arange(len(key)) - 1
+    rows = np.flatnonzero(later > 0)
+    later = later[rows]
+    ends = np.cumsum(later)
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        n = later[at:to]
+        a = np.repeat(rows[at:to], n)
+        b = a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        good = np.bitwise_count(fps[a] ^ fps[b]).sum(1) <= most
+        yield a[good], b[good]
+        at = to
+
+
+def wide_links(rows: DataFrame, parts: int, bits: int, k: int, most: int) -> DataFrame:
+    """Links (a, b) between the ids of rows (rid, fp), fp of parts * bits bits, that their candidate groups need.
+
+    k + 1 partitions are probed at threshold 0, so rows that differ in at most k bits meet for certain, and others as
+    likely as one partition agrees; rows that meet are linked if at most `most` of their first 128 bits differ. A row
+    makes k + 1 rows at any table size. Buckets above HOT_BUCKET rows are linked unseen, each row to the least: callers
+    verify. rid is not null.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    total = rows.count()
+    lanes = -(-parts * bits // 64)
+
+    def unpacked(column: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(column), np.uint8).reshape(-1, 8 * lanes)
+        return raw, np.unpackbits(raw, axis=1, bitorder="little")[:, : parts * bits]
+
+    some = [bytes(r.fp) for r in rows.orderBy(F.xxhash64("rid", F.lit("sample"))).limit(WIDE_SAMPLE).select("fp").collect()]
+    groups = allocate_wide(unpacked(some)[1], parts, bits, k)
+
+    def spread(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4000):
+                b = batch.slice(at, 4000)
+                raw, one = unpacked(b.column(1).to_pylist())
+                words = raw[:, :16].copy().view(np.uint64).view(np.int64)
+                for p, g in enumerate(groups):
+                    value = np.zeros((len(raw), 8), np.uint8)
+                    packed = np.packbits(one[:, g], axis=1, bitorder="little")
+                    value[:, : packed.shape[1]] = packed
+                    key = pa.array(value.view(np.int64).ravel() | (p << 48))
+                    yield pa.record_batch([key, b.column(0), pa.array(words[:, 0]), pa.array(words[:, 1])], ["key", "rid", "v0", "v1"]) if whole else pa.record_batch([key], ["key"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        key, rid, v0, v1 = (np.concatenate([np.asarray(b.column(i)) for b in got]) for i in range(4))
+        order = np.argsort(key, kind="stable")
+        key, rid, fps = key[order], rid[order], np.stack([v0, v1], 1)[order].view(np.uint64)
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for x, y in _wide_pairs(key, fps, most):
+            a, b = np.concatenate([a, rid[x]]), np.concatenate([b, rid[y]])
+            if len(a) > CHUNK:
+                a, b = forest(a, b)
+        if len(a):
+            a, b = forest(a, b)
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    keyed = rows.select("rid", "fp").mapInArrow(lambda x: spread(x, True), "key long, rid long, v0 long, v1 long")
+    keys = rows.select("rid", "fp").mapInArrow(lambda x: spread(x, False), "key long")
+    hot = durable(keys.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select(F.col("key").alias("hot")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * (k + 1) // ROWS_A_TASK))
+    cold, stars = keyed, None
+    if not hot.isEmpty():
+        few = lookup(hot)
+        cold = keyed.join(few, F.col("key") == F.col("hot"), "left_anti")
+        mine = keyed.join(few, F.col("key") == F.col("hot")).select("key", "rid")
+        least = lookup(durable(mine.groupBy("key").agg(F.min("rid").alias("low")).withColumnRenamed("key", "of")))
+        stars = mine.join(least, F.col("key") == F.col("of")).where(F.col("rid") != F.col("low")).select(F.col("rid").alias("a"), F.col("low").alias("b"))
+    found = cold.repartition(tasks, "key").mapInArrow(compare, "a long, b long")
+    return found if stars is None else found.unionByName(stars)
+
+
 def linked(docs: DataFrame, *, words: int = 3, k: int = 2) -> DataFrame:
     """docs (doc_id, text) to doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
     fps = durable(fingerprints(docs, words))
