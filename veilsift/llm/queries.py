@@ -91,16 +91,26 @@ w AS (SELECT *, list_extract([5, 2, 1], 1 + (row_number() OVER (ORDER BY source
 r AS (SELECT *, source_size * 3 / w AS ratio, sum(source_size) OVER () AS total FROM w),
 l AS (SELECT *, (total - 3 * coalesce(sum(source_size) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-x AS (SELECT coalesce(arg_min(level, ratio) FILTER (WHERE level <= ratio), 0.0) AS water FROM l),
+x AS (SELECT coalesce(arg_min(level, (ratio, -level)) FILTER (WHERE level <= ratio), 0.0) AS water FROM l),
 t AS (SELECT source, source_size, CASE WHEN ratio < water THEN (source_size * 3)::DOUBLE ELSE water * w END AS target FROM l, x),
-f AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size + 1e-12)) ELSE 0 END::BIGINT AS whole FROM t),
-q AS (SELECT d.*, source_size, target, whole, greatest(0.0, target - whole * source_size) AS rest FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
-o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q),
-c AS (SELECT *, rest > 0 AND min(CASE WHEN upto > rest THEN u ELSE 2 END) OVER (PARTITION BY source) > u AS fits FROM o),
-g AS (SELECT *, rest - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
-b AS (SELECT source, arg_min(rid, (abs(size - gap), u, doc_id, rid)) AS rid FROM g WHERE rest > 0 AND NOT fits AND abs(size - gap) < gap GROUP BY source)
-SELECT g.doc_id, g.size, g.source_size, g.target, (g.size * (whole + CASE WHEN fits OR b.rid IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM g LEFT JOIN b ON g.rid = b.rid
+g AS (SELECT d.source, floor(sqrt(size))::BIGINT AS root, sum(size)::BIGINT AS words FROM d GROUP BY 1, 2),
+v AS (SELECT g.*, target, source_size,
+             (target - 3 * coalesce(sum(words) OVER (PARTITION BY g.source ORDER BY root DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+             / nullif(sum(root * words) OVER (PARTITION BY g.source ORDER BY root)::DOUBLE, 0) AS level
+      FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT source, arg_max(level, root) FILTER (WHERE root > 0 AND level * root <= 3 + 1e-9) AS c FROM v GROUP BY source),
+e AS (SELECT v.*, c, CASE WHEN root = 0 THEN 0.0 ELSE least(3.0::DOUBLE, coalesce(c * root, 3.0::DOUBLE)) END::DOUBLE AS times FROM v JOIN c ON v.source IS NOT DISTINCT FROM c.source),
+f AS (SELECT source, root, source_size, target, times, floor(times + 1e-12::DOUBLE)::BIGINT AS whole,
+             greatest(0.0::DOUBLE, target - (sum(floor(times + 1e-12::DOUBLE)::BIGINT * words) OVER (PARTITION BY source))::DOUBLE) AS rest FROM e),
+p AS (SELECT d.*, source_size, target, whole, rest, times - whole AS p FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source AND floor(sqrt(d.size))::BIGINT = f.root),
+q AS (SELECT *, CASE WHEN p > 1e-12::DOUBLE AND rest > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM p),
+o AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END)
+                OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id NULLS FIRST, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS upto FROM q),
+k AS (SELECT *, coalesce(upto <= rest, false) AS fits FROM o),
+z AS (SELECT *, rest - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM k),
+b AS (SELECT source, arg_min(rid, (abs(size - gap), q, doc_id, size, rid)) AS rid FROM z WHERE q IS NOT NULL AND NOT fits AND abs(size - gap) < gap GROUP BY source)
+SELECT z.doc_id, z.size, z.source_size, z.target, (z.size * (whole + CASE WHEN fits OR b.rid IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM z LEFT JOIN b ON z.rid = b.rid
 """
 
 OP10_SQL = r"""
