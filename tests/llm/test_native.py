@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from veilsift.llm import mixing, orderminhash, queries, urlfilter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,6 +65,41 @@ def test_mix(spark, monkeypatch):
     assert {(r.target, r.taken) for r in mixing.mix(df.where("doc_id in (900, 902)")).collect()} == {(0.0, 0)}
 
 
+def test_inclusion_follows_the_probabilities(spark):
+    """Over many seeds a document comes as often as its size says, though lengths differ much within a source."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 400))), "ab"[i % 3 > 0]) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df).collect()
+    words = {r.doc_id: r.size for r in out}
+    target = {r.source: r.target for r in out}
+    want = {}
+    for s in "ab":
+        own = [r.doc_id for r in out if r.source == s]
+        low, high = 0.0, 10.0
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(3, mid * int(words[d] ** 0.5)) * words[d] for d in own) < target[s] else (low, mid)
+        want |= {d: min(3, low * int(words[d] ** 0.5)) for d in own}
+    seeds = 200
+    many = df.crossJoin(spark.range(seeds).withColumnRenamed("id", "seed")).select(F.expr("doc_id + 1000000 * seed").alias("doc_id"), "text", F.concat("source", F.lpad(F.col("seed").cast("string"), 3, "0")).alias("source"))
+    # each seed is a pair of sources of its own; weights repeat 5, 2 as here, so shares are the same
+    got = Counter()
+    for r in mixing.mix(many, weights=(*[5] * seeds, *[2] * seeds)).collect():
+        got[r.doc_id % 1000000] += r.copies / seeds
+    error = np.array([got[d] - want[d] for d in want])
+    assert abs(error.mean()) < 0.01 and np.abs(error).max() < 0.2
+    assert max(want.values()) > 2 * min(want.values())
+
+
+def test_equal_documents_at_the_cut(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 3)
+    rows = [(None, "one two", "a")] * 200 + [(1, "x " * 50, "b"), (2, "y", "c")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    taken = sum(r.taken for r in out if r.source == "a")
+    assert len(out) == 202 and abs(taken - next(r.target for r in out if r.source == "a")) <= 2
+
+
 # -- URLs
 
 
@@ -145,13 +182,14 @@ def plain_fingerprint(text):
     grams = sorted(signed(xx(*found[i : i + o.K]) & clear | i) for i in range(max(1, len(found) - o.K + 1)))
     seen, numbered = Counter(), []
     for g in grams:
-        k = g >> 24
+        k = g >> o.PLACES
         n, seen[k] = seen[k], seen[k] + 1
         numbered.append(g if n == 0 else signed(xx(k, np.int32(n)) & clear | g & o.PLACE))
-    sample, out = sorted(numbered)[: o.SAMPLE], ""
+    out = ""
     for j in range(o.SKETCHES):
-        least = sorted(signed(xx(g >> 24, np.int32(j)) & clear | g & o.PLACE) for g in sample)[: o.L]
-        out += f"{murmur([x >> 24 for _, x in sorted((x & o.PLACE, x) for x in least)]) & 0xFFFF:04x}"
+        # each order ranks all of the text's k-mers
+        least = sorted(signed((g & (1 << 64) - 1) ^ j << 59) for g in numbered)[: o.L]
+        out += f"{murmur([x >> o.PLACES for _, x in sorted((x & o.PLACE, x) for x in least)]) & 0xFFFF:04x}"
     return out
 
 
@@ -179,6 +217,27 @@ def test_order_minhash(spark, monkeypatch):
     assert len(orderminhash.fingerprinted(twins).collect()) == 3
 
 
+def test_order_minhash_tracks_all_of_a_long_text(spark):
+    """Likeness is near the share of equal k-mers, whose order is kept, for texts of many more k-mers than sketches."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(5000)]
+    rows, want = [], []
+    for i in range(60):
+        base = list(rng.choice(words, 900))
+        edit = list(base)
+        for at in rng.choice(900, 20 + 3 * i, replace=False):
+            edit[at] = f"new{at}"
+        a, b = (Counter(zip(t, t[1:])) for t in (base, edit))
+        want.append((a & b).total() / (a | b).total())
+        rows.append((" ".join(base), " ".join(edit)))
+    o = orderminhash
+    sign = lambda c: o.as_string(o.signature(F.col(c)))
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(o.likeness(sign("a"), sign("b"))).collect()]
+    # both k-mers of a tuple must be kept
+    error = np.array(got) - np.array(want) ** o.L
+    assert abs(error.mean()) < 0.05 and np.sqrt((error**2).mean()) < 0.1
+
+
 # -- against SQL
 
 

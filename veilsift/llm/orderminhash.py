@@ -1,13 +1,16 @@
 """Order MinHash document fingerprints (Marçais et al. 2019), in DataFrame functions only.
 
 A text's tokens are its words, cut into pieces of at most PIECE characters; its k-mers are runs of K tokens, each
-numbered by its occurrence in the text. The SAMPLE numbered k-mers with the least hashes stand for the text (all of
-them, if there are fewer). For each of SKETCHES hash functions the L least of them are put back into text order and
-hashed as a tuple. Equal order of rare k-mers, not only equal sets, makes signatures agree, which tracks edit distance.
-Likeness of two fingerprints is the share of equal signature places.
+numbered by its occurrence in the text and hashed. Each of SKETCHES orders ranks all numbered k-mers of the text by
+their hash with the order's number exclusive-ored into its first bits: every order of hashes is a random permutation. The
+L least of an order are put back into text order and hashed as a tuple. Equal order of rare k-mers, not only equal sets,
+makes signatures agree, which tracks edit distance. Likeness of two fingerprints is the share of equal signature places.
+Tokens are words, not characters, so that the cost goes by the word and an edit by the words that it touches.
 
-A k-mer is one long: 40 bits of its hash and 24 bits of its place, so one sort gives occurrence numbers and another
-the sample; nothing is exploded.
+A k-mer is one long: 36 bits of its hash and PLACES bits of its place, so one sort gives occurrence numbers and another the
+orders: k-mers of equal first bits keep their sorted order in every order, so the L least of an order are among the L
+least of each value of the first bits, at most L * SKETCHES k-mers found in one pass over the whole text. Nothing is
+exploded. Places fit texts of up to 2^28 tokens; beyond, equal places are put in order of hash.
 
 Nulls: a null text is empty. Texts without tokens share the all-zero fingerprint; a text of fewer than K tokens has one
 k-mer, all its tokens. Equal texts have equal fingerprints. Extra columns are ignored.
@@ -19,17 +22,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import integer_ids, let
 
-PIECE, K, SAMPLE, SKETCHES, L = 16, 2, 64, 32, 2
-#: Bits of a k-mer's long that hold its place.
-PLACE = (1 << 24) - 1
+PIECE, K, SKETCHES, L = 16, 2, 32, 2
+#: Bits of a k-mer's long that hold its place, and the mask of them.
+PLACES = 28
+PLACE = (1 << PLACES) - 1
+#: First bits of a hash, as many as number the orders.
+FIRST = (SKETCHES - 1).bit_length()
 #: Documents a range of ids, and the most ranges.
 RANGE_DOCS, RANGES = 2000, 4096
 
 
 def _kmers(text: Column) -> Column:
-    """K-mers as longs, sorted: hash in the upper 40 bits, place in the lower 24."""
+    """K-mers as longs, sorted: hash in the upper bits, place in the lower PLACES."""
 
     def run(tokens: Column) -> Column:
         n = F.size(tokens)
@@ -44,7 +50,7 @@ def _numbered(kmers: Column) -> Column:
 
     def run(a: Column) -> Column:
         n = F.size(a)
-        gram = lambda x: F.shiftright(x, 24)
+        gram = lambda x: F.shiftright(x, PLACES)
         starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (gram(F.get(a, i)) != gram(F.get(a, i - 1))))
 
         def renumber(s: Column) -> Column:
@@ -58,20 +64,26 @@ def _numbered(kmers: Column) -> Column:
     return let(kmers, run)
 
 
+def _leading(kmers: Column) -> Column:
+    """Of sorted k-mers, the L least of each value of the first bits."""
+    first = lambda x: F.shiftright(x, 64 - FIRST)
+    return let(kmers, lambda a: F.filter(a, lambda x, i: (i < L) | (first(x) != first(F.get(a, i - L)))))
+
+
 def signature(text: Column) -> Column:
     """SKETCHES ints; all zero for a text without tokens."""
 
-    def run(sample: Column) -> Column:
+    def run(leading: Column) -> Column:
         def sketch(j: int) -> Column:
-            # a multiplicative mix of the 40-bit hash; the place stays below
-            mixed = F.transform(sample, lambda x: F.xxhash64(F.shiftright(x, 24), F.lit(j)).bitwiseAND(F.lit(~PLACE)).bitwiseOR(x.bitwiseAND(F.lit(PLACE))))
-            least = F.slice(F.sort_array(mixed), 1, L)
-            in_order = F.sort_array(F.transform(least, lambda x: F.struct(x.bitwiseAND(F.lit(PLACE)).alias("p"), F.shiftright(x, 24).alias("h"))))
+            order = j << 64 - FIRST
+            flip = F.lit(order - (1 << 64) if order >> 63 else order)
+            least = F.slice(F.sort_array(F.transform(leading, lambda x: x.bitwiseXOR(flip))), 1, L)
+            in_order = F.sort_array(F.transform(least, lambda x: F.struct(x.bitwiseAND(F.lit(PLACE)).alias("p"), F.shiftright(x, PLACES).alias("h"))))
             return F.hash(F.transform(in_order, lambda x: x["h"]))
 
-        return F.when(F.size(sample) == 0, F.array_repeat(F.lit(0), SKETCHES)).otherwise(F.array(*[sketch(j) for j in range(SKETCHES)]))
+        return F.when(F.size(leading) == 0, F.array_repeat(F.lit(0), SKETCHES)).otherwise(F.array(*[sketch(j) for j in range(SKETCHES)]))
 
-    return let(F.slice(_numbered(_kmers(F.coalesce(text, F.lit("")))), 1, SAMPLE), run)
+    return let(_leading(_numbered(_kmers(F.coalesce(text, F.lit(""))))), run)
 
 
 def as_string(sketches: Column) -> Column:
@@ -125,6 +137,7 @@ def edited(text: Column, following: Column) -> Column:
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    integer_ids(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select("doc_id", text.alias("text")).withColumn("fingerprint", as_string(signature(F.col("text"))))
     pairs = with_next(base, ["text", "fingerprint"])
