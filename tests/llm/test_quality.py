@@ -77,6 +77,20 @@ def test_estimate_matches_numpy(spark, monkeypatch):
     assert np.allclose([got[i] for i in ids], best[1], rtol=1e-6, atol=1e-9)
 
 
+def test_repetition_alone_rejects_in_a_clean_group(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 9))) for _ in range(3000)]
+    lines = lambda n: [" ".join(rng.choice(vocabulary, 10)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(20)), "en", "s", "") for i in range(200)]
+    twice = lines(6)
+    rows += [(900, "\n".join([*lines(13), *twice[:3], *twice[:3]]), "en", "s", ""), (901, "\n".join([*lines(20), "same", *["same"] * 19]), "en", "s", ""), (902, "\n".join([*lines(18), twice[0], twice[0]]), "en", "s", "")]
+    rows += [(1000 + i, "\n".join(lines(20)), "en", f"small{i}", "") for i in range(20)]  # groups of one row lean on the language
+    got = {r.doc_id: r for r in Q.rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not got[900].kept and not got[901].kept and got[902].kept
+    assert all(r.kept for d, r in got.items() if d not in (900, 901))
+
+
 def test_kept_documents_and_empty(spark):
     df = spark.createDataFrame(sample(), SCHEMA)
     kept = Q.kept_documents(df)
