@@ -63,6 +63,24 @@ def test_kernel_is_the_subsequence_kernel():
     assert np.allclose(got[close], want[close], atol=1e-5) and (np.abs(got - want)[~close] < 0.15).all()
 
 
+def test_long_landmarks_of_any_script():
+    marks = ["中" * 20, "é" * 40, "очень" * 12, "x" * 200]
+    kernel = T.Kernel([m.encode() for m in marks])
+    own = kernel([m.encode() for m in marks])
+    assert (np.diag(own) > 0.5).all() and own[0, 3] < 0.3
+    assert T.strings("ÉCLAIR Мир".encode()) == ["éclair".encode(), "мир".encode()]
+
+
+def test_toxic_words_of_other_scripts_are_learned(spark):
+    docs, labels = sample(300)
+    bad = "негодяйпрохвостмерзавецнегодяйпрохвост"
+    docs = [(d, t.replace("idiot", bad).replace("moron", bad), lang, s) for d, t, lang, s in docs]
+    docs += docs[:50]  # repeated ids
+    out = T.scored(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()
+    truth = dict(labels)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in out if r.held_out]) > 0.9
+
+
 def test_without_labels_and_empty(spark):
     docs, labels = sample(30)
     df, none = spark.createDataFrame(docs, DOCS), spark.createDataFrame([], LABELS)

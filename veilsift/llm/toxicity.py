@@ -1,6 +1,6 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks.
 
-Strings are a text's words (case folded, ASCII punctuation dropped, a mark for the beginning), and runs of single
+Strings are a text's words (lower-cased, ASCII punctuation dropped, a mark for the beginning), and runs of single
 characters joined ("i d i o t"). Two strings' kernel is the number of common subsequences of three symbols, each
 weighted by DECAY to the power of the symbols it spans in both (Lodhi et al. 2002), spans up to SPAN, normalised to 1
 for equal strings. So inserted characters and gaps lower a likeness but don't end it. A string's features are its
@@ -17,7 +17,7 @@ their ids; it is a few MB and comes back to the driver. Every text is scored who
 
 Nulls: a null text is empty; a text without strings scores as its intercept (near 0). Labels that are null, or whose
 documents are missing, are not used; a document with several labels is toxic if one says so. Without documents of both
-labels to learn from, every score is 0. Repeated rows are scored each. Extra columns are ignored.
+labels to learn from, every score is 0. Of repeated ids the least text is learned from; repeated rows are scored each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 def strings(text: bytes) -> list[bytes]:
     """The strings of a text."""
-    lower = text.lower()
+    lower = text.lower() if text.isascii() else text.decode().lower().encode()
     return lower.split() + [b"".join(run.split()) for run in SPACED.findall(lower)]
 
 
@@ -91,10 +91,18 @@ def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array(owner, np.int64)
 
 
+def _whole(word: bytes) -> np.ndarray:
+    """A word as one row of symbols, whatever its length."""
+    points = np.frombuffer(("\x00" + word.decode()).encode("utf-32-le"), "<u4").astype(np.int64)
+    out = np.where(points < 128, _ASCII[np.minimum(points, 127)], 39 + points % 24)
+    out[0] = 1
+    return out[None, :]
+
+
 def _grams(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """Codes of the three-symbol subsequences of each span, where they are, and their weight."""
     for a, b in OFFSETS:
-        n = PIECE - b
+        n = max(0, symbols.shape[1] - b)
         x, y, z = symbols[:, :n], symbols[:, a : a + n], symbols[:, b : b + n]
         yield (x << 12) | (y << 6) | z, z > 0, DECAY ** (b + 1)
 
@@ -111,9 +119,8 @@ class Kernel:
         place = np.zeros(1 << 18, np.int32)
         rows: list[dict[int, float]] = []
         for w in self.landmarks:
-            symbols, _ = _symbols([w[: PIECE - 1]])
             found: Counter[int] = Counter()
-            for code, there, weight in _grams(symbols):
+            for code, there, weight in _grams(_whole(w)):
                 for c in code[there].tolist():
                     found[c] += weight
             rows.append(found)
@@ -122,7 +129,7 @@ class Kernel:
         self.place = place
         self.weight = np.zeros((len(codes) + 1, max(1, len(rows))), np.float32)
         for j, found in enumerate(rows):
-            norm = sum(v * v for v in found.values()) ** 0.5
+            norm = max(1e-12, sum(v * v for v in found.values())) ** 0.5
             for c, v in found.items():
                 self.weight[place[c], j] = v / norm
 
@@ -407,7 +414,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         if model:
             yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    chosen = texts.join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text").repartition(1)
+    # one text an id, the least: repeated ids must not grow the one task that learns
+    chosen = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text").repartition(1)
     made = chosen.mapInArrow(run, "model binary").collect()  # one row
     return pickle.loads(bytes(made[0].model)) if made else None
 
