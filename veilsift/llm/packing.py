@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .tokens import encoder
+from .tokens import CACHE_WORDS, encoder
 
 SHARD_DOCS, SHARD_TOKENS = 4096, 4_000_000
 #: Tokens of padding that are not worth a cut.
@@ -146,14 +146,17 @@ def _at_powers(sequence: list[Piece], full: int) -> list[list[Piece]]:
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits()) -> DataFrame:
-    """docs (doc_id, text) to one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def packed(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), cache_words: int = CACHE_WORDS) -> DataFrame:
+    """docs (doc_id, text) to one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    cache_words: words whose ids a worker keeps, which sets its memory.
+    """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, cache_words).encode
         sequence = TaskContext.get().partitionId() << 33
         ids: list[object] = []
         data: list[bytes] = []

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, lookup, remove_scratch, ship
+from .common import durable, give_back, lookup, remove_scratch, ship
 
 FEATURES = 6
 #: Least deviations that count: log word length, roots of the shares of symbols, non-letters, capitals, words in
@@ -104,6 +104,7 @@ def measure(docs: DataFrame, keep: dict[str, Column]) -> DataFrame:
             failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)
             columns = [pa.array(c) for c in (n, chars, symbols, dup, rep)] + [pa.array(failed)] + [pa.array(c, mask=n == 0) for c in x]
             yield pa.record_batch([*b.columns[1:], *columns], [*b.schema.names[1:], *BASE, "base_failed", *X])
+        give_back()
 
     schema = source.drop("text").schema
     for name in BASE:

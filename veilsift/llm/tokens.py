@@ -27,7 +27,8 @@ TAIL, PLAIN = ".,;:!?", "\u0250"
 class Encoder:
     """Ids as bytes: little-endian unsigned 32-bit."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         bare = json.loads(self.tokenizer.to_str())
@@ -55,7 +56,7 @@ class Encoder:
     def _block(self, block: list[list[str]]) -> Iterator[bytes]:
         words = set().union(*block)
         new = list(words.difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) + len(new) > self.cache_words:
             self.forget()
             new = list(words.difference(self.known))
         bare = [w.rstrip(TAIL) for w in new]
@@ -67,7 +68,7 @@ class Encoder:
         known |= {w: cores[c] + known[w[len(b) :]] for w, b, c, p in zip(new, bare, low, plain) if p}
         look = known.__getitem__
         yield from [b"".join(map(look, text)) for text in block]
-        if len(known) > CACHE_WORDS:
+        if len(known) > self.cache_words:
             self.forget()
         for w in [w for w in new if len(w) > CACHE_CHARS]:
             known.pop(w, None)
@@ -84,6 +85,6 @@ def _ids(tokenizer: Tokenizer, words: list[str]) -> dict[str, bytes]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process and file."""
-    return Encoder(path)
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
+    """One encoder a worker process, file and size of cache."""
+    return Encoder(path, cache_words)
