@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import give_back, ship
 from .tokens import CACHE_WORDS, encoder
 
 SHARD_DOCS, SHARD_TOKENS = 4096, 4_000_000
@@ -146,10 +146,11 @@ def _at_powers(sequence: list[Piece], full: int) -> list[list[Piece]]:
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), cache_words: int = CACHE_WORDS) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), cache_words: int = CACHE_WORDS, keep_cache: bool = True) -> DataFrame:
     """docs (doc_id, text) to one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    cache_words: words whose ids a worker keeps, which sets its memory.
+    cache_words: words whose ids a worker keeps, which sets its memory; keep_cache: whether it keeps them, and the tokenizer,
+    for its next task.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
@@ -187,6 +188,10 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits
                     yield from flush()
         if ids:
             yield from flush()
+        if not keep_cache:
+            del encode
+            encoder.cache_clear()
+            give_back()
 
     schema = f"doc_id {kind.simpleString()}, " + ", ".join(f"{f} long" for f in FIELDS[1:])
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -21,6 +21,8 @@ from tokenizers import Tokenizer
 
 #: Words kept in a worker's cache, the longest kept (characters), and the characters of text encoded at a time.
 CACHE_WORDS, CACHE_CHARS, BLOCK_CHARS = 1_200_000, 40, 2_000_000
+#: Words given to the tokenizer at once.
+ENCODED_AT_ONCE = 20_000
 TAIL, PLAIN = ".,;:!?", "\u0250"
 
 
@@ -76,12 +78,16 @@ class Encoder:
 
 
 def _ids(tokenizer: Tokenizer, words: list[str]) -> dict[str, bytes]:
-    flat, cuts = [], [0]
-    for e in tokenizer.encode_batch_fast(words, add_special_tokens=False):
-        flat += e.ids
-        cuts.append(len(flat) * 4)
-    data = np.array(flat, "<u4").tobytes()
-    return {w: data[a:z] for w, a, z in zip(words, cuts, cuts[1:])}
+    out: dict[str, bytes] = {}
+    for at in range(0, len(words), ENCODED_AT_ONCE):  # encodings hold far more than ids
+        some = words[at : at + ENCODED_AT_ONCE]
+        flat, cuts = [], [0]
+        for e in tokenizer.encode_batch_fast(some, add_special_tokens=False):
+            flat += e.ids
+            cuts.append(len(flat) * 4)
+        data = np.array(flat, "<u4").tobytes()
+        out |= {w: data[a:z] for w, a, z in zip(some, cuts, cuts[1:])}
+    return out
 
 
 @lru_cache(maxsize=2)

@@ -51,6 +51,8 @@ CLEAN, STRICT = 20.0, 5.0
 TOP, CUT = 3, 3.0
 THRESHOLD = 0.7
 CACHE = 250_000
+#: Strings that learning handles at once.
+SLICE = 20_000
 
 SPACED = re.compile(rb"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D\x80-\xff][\x20\x09-\x0D]+){2,}[^\x20\x09-\x0D\x80-\xff](?![^\x20\x09-\x0D])")
 EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
@@ -178,20 +180,27 @@ def variants(word: bytes, rng: np.random.Generator) -> list[bytes]:
     return [f"{s[:at]}{fill}{s[at:]}".encode(), f"{s[:at]}{s[at - 1] * 2}{s[at:]}".encode()]
 
 
-def svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Linear machine of squared hinge loss by Newton steps; z has a column of ones."""
-    w = np.zeros(z.shape[1])
-    ridge = np.eye(z.shape[1])
+def svm(sides: list[tuple[np.ndarray, float, np.ndarray]]) -> np.ndarray:
+    """Linear machine of squared hinge loss by Newton steps over (rows with a column of ones, label, weights of rows)."""
+    width = sides[0][0].shape[1]
+    w = np.zeros(width)
+    ridge = np.eye(width)
     ridge[-1, -1] = 1e-3
 
     def loss(v: np.ndarray) -> float:
-        return float(v @ ridge @ v / 2 + COST * (weight * np.maximum(0, 1 - y * (z @ v)) ** 2).sum())
+        return float(v @ ridge @ v / 2 + COST * sum((weight * np.maximum(0, 1 - y * _margins(z, v)) ** 2).sum() for z, y, weight in sides))
 
     now = loss(w)
     for _ in range(50):
-        active = y * (z @ w) < 1
-        za, wa = z[active], weight[active]
-        target = np.linalg.solve(ridge + 2 * COST * (za * wa[:, None]).T @ za, 2 * COST * za.T @ (wa * y[active]))
+        left, right = ridge.copy(), np.zeros(width)
+        for z, y, weight in sides:
+            active = np.flatnonzero(y * _margins(z, w) < 1)
+            for at in range(0, len(active), SLICE):
+                some = active[at : at + SLICE]
+                za = z[some].astype(float)
+                left += 2 * COST * (za * weight[some, None]).T @ za
+                right += 2 * COST * y * (za.T @ weight[some])
+        target = np.linalg.solve(left, right)
         step = 1.0
         while step > 1e-4 and loss(w + step * (target - w)) > now:
             step /= 2
@@ -202,6 +211,13 @@ def svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def _margins(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    out = np.empty(len(z))
+    for at in range(0, len(z), SLICE):
+        out[at : at + SLICE] = z[at : at + SLICE].astype(float) @ w
+    return out
+
+
 @dataclass
 class Model:
     kernel: Kernel
@@ -307,18 +323,22 @@ def train(texts: list[bytes], toxic: list[bool]) -> Model | None:
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = (vectors / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     negatives = sorted(clean)
-    ones = lambda k: np.concatenate([k @ root, np.ones((len(k), 1))], 1)
-    kn = kernel(negatives)
-    far = kn.max(1) < FAR
-    zn = np.concatenate([ones(kn[~far].astype(float)), ones(np.zeros((1, kn.shape[1])))])
-    del kn
-    negative_weight = np.append(np.ones(int((~far).sum())), float(far.sum()))
+    ones = lambda k: np.concatenate([k.astype(float) @ root, np.ones((len(k), 1))], 1).astype(np.float32)
+    near, n_far = [ones(np.zeros((1, len(landmarks))))], 0
+    for at in range(0, len(negatives), SLICE):
+        kn = kernel(negatives[at : at + SLICE])
+        far = kn.max(1) < FAR
+        near.append(ones(kn[~far]))
+        n_far += int(far.sum())
+    zn = np.concatenate(near)
+    del near, kn, far
+    negative_weight = np.append(float(n_far), np.ones(len(zn) - 1))
     negative_weight /= negative_weight.sum()
     known = sorted(w for w in set().union(*bad) if len(w) > 2)
     kp = kernel(known)
     close = kp.max(1) >= FAR  # others can't be witnesses
     known = [w for w, c in zip(known, close) if c]
-    zp = ones(kp[close].astype(float))
+    zp = ones(kp[close])
     at = {w: i for i, w in enumerate(known)}
     candidates = [sorted(w for w in s if w in at) for s in bad]
     del kp
@@ -336,13 +356,10 @@ def train(texts: list[bytes], toxic: list[bool]) -> Model | None:
         if last:  # witnesses with inserted characters teach tolerance
             made = [(x, witness[i] / 3) for i in rows for x in variants(known[i], rng) if x not in clean]
             if made:
-                zw, cw = np.concatenate([zw, ones(kernel([x for x, _ in made]).astype(float))]), np.concatenate([cw, [c for _, c in made]])
-        z = np.concatenate([zw, zn])
-        y = np.concatenate([np.ones(len(zw)), -np.ones(len(zn))])
+                zw, cw = np.concatenate([zw, ones(kernel([x for x, _ in made]))]), np.concatenate([cw, [c for _, c in made]])
         # clean strings together weigh CLEAN times as much as the witnesses
-        cw = np.concatenate([cw, CLEAN * max(1.0, cw.sum()) * negative_weight])
-        v = svm(z, y, cw)
-        margin = zp @ v
+        v = svm([(zw, 1.0, cw), (zn, -1.0, CLEAN * max(1.0, cw.sum()) * negative_weight)])
+        margin = _margins(zp, v)
         witness = np.zeros(len(known))
         for s in candidates:
             if s:
