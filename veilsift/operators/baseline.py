@@ -20,11 +20,9 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 def classify(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Identity and classification: new, baselined, stale; each identity once."""
-    now, known = findings.select(*IDENTITY).distinct(), baseline.select(*IDENTITY).distinct()
-    parts = [now.join(known, _same(now, known), "left_anti").withColumn("classification", F.lit("new"))]
-    parts.append(now.join(known, _same(now, known), "left_semi").withColumn("classification", F.lit("baselined")))
-    parts.append(known.join(now, _same(known, now), "left_anti").withColumn("classification", F.lit("stale")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sides = findings.select(*IDENTITY, F.lit(True).alias("now")).unionByName(baseline.select(*IDENTITY, F.lit(False).alias("now")))
+    seen = sides.groupBy(*IDENTITY).agg(F.bool_or("now").alias("now"), F.bool_and("now").alias("only"))
+    return seen.select(*IDENTITY, F.when(F.col("only"), "new").when(F.col("now"), "baselined").otherwise("stale").alias("classification"))
 
 
 def only_new(findings: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def candidates_cte(units: str) -> str:
     return (
         tokens_cte(units)
         + f""",
-ca AS (SELECT * FROM (SELECT *, {entropy(v)} AS entropy FROM tk WHERE length(value) BETWEEN {X.MIN_LENGTH} AND {X.MAX_TOKEN} AND NOT {token_template(v)} AND NOT {token_placeholder(v)}
+ca AS MATERIALIZED (SELECT * FROM (SELECT *, {entropy(v)} AS entropy FROM tk WHERE length(value) BETWEEN {X.MIN_LENGTH} AND {X.MAX_TOKEN} AND NOT {token_template(v)} AND NOT {token_placeholder(v)}
   AND NOT {repetitive(v)} AND NOT {non_secret(v)} AND {prose_words(v)} <= {X.MAX_PROSE_WORDS}) WHERE entropy >= {X.MIN_ENTROPY} AND entropy <= {X.MAX_ENTROPY} AND {normalized(v)} >= {X.MIN_NORMALIZED})"""
     )
 
@@ -203,7 +203,7 @@ def matches_cte(units: str, rules: tuple[Rule, ...] = RULES) -> str:
 g1 AS (SELECT *, {LINE} AS line, {COLUMN} AS "column", {LINE_TEXT} AS lt FROM (SELECT sp.*, ru.* EXCLUDE (rule_id), {entropy("value")} AS entropy FROM sp JOIN ru USING (rule_id)
   WHERE value <> '' AND length(value) <= {X.MAX_MATCH} AND NOT (ph AND {match_placeholder(v)}) AND NOT {match_template(v)} AND NOT {repetitive(v)}) WHERE entropy >= min_entropy),
 g2 AS (SELECT *, list_filter(keys, lambda k: contains({keyword("lt")}, {keyword("k")})) AS keywords, nullif(regexp_extract(left(lt, "column" - 1), {q(X.ASSIGNED_NAME)}, 1), '') AS assignment_name FROM g1),
-ma AS (SELECT *, CASE WHEN floor < 3 AND (len(keywords) > 0 OR assignment_name IS NOT NULL) THEN least(floor + 1, 3) ELSE floor END AS confidence FROM g2 WHERE NOT context OR len(keywords) > 0)"""
+ma AS MATERIALIZED (SELECT *, CASE WHEN floor < 3 AND (len(keywords) > 0 OR assignment_name IS NOT NULL) THEN least(floor + 1, 3) ELSE floor END AS confidence FROM g2 WHERE NOT context OR len(keywords) > 0)"""
     )
 
 
@@ -214,10 +214,10 @@ def fused_cte(units: str) -> str:
         + ","
         + candidates_cte(units)
         + """,
-pa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, "start", "end", value ORDER BY specificity, priority, rule_id) AS rk FROM ma) WHERE rk = 1),
+pa AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, "start", "end", value ORDER BY specificity, priority, rule_id) AS rk FROM ma) WHERE rk = 1),
 pr AS (SELECT p.unit_id, p.rule_id, p."start" AS ps, p."end" AS pe, p.value AS pv, c."start" AS cs, c."end" AS ce FROM pa p JOIN ca c ON p.unit_id = c.unit_id AND p."start" < c."end" AND c."start" < p."end"
   AND ((p."start" <= c."start" AND c."end" <= p."end") OR (c."start" <= p."start" AND p."end" <= c."end") OR contains(p.value, c.value) OR contains(c.value, p.value))),
-nc AS (SELECT unit_id, cs, ce, count(*) AS n, min(rule_id) AS rule_id, min(ps) AS ps, min(pe) AS pe, min(pv) AS pv FROM pr GROUP BY ALL),
+nc AS MATERIALIZED (SELECT unit_id, cs, ce, count(*) AS n, min(rule_id) AS rule_id, min(ps) AS ps, min(pe) AS pe, min(pv) AS pv FROM pr GROUP BY ALL),
 su AS (SELECT DISTINCT unit_id, rule_id, ps, pe, pv FROM nc WHERE n = 1),
 mg AS (SELECT pa.unit_id, pa.rule_id, value, "start", "end", line, "column", entropy, keywords, CASE WHEN su.unit_id IS NOT NULL THEN 3 ELSE confidence END AS confidence, severity, CASE WHEN su.unit_id IS NOT NULL THEN 'composite' ELSE 'pattern' END AS detector
   FROM pa LEFT JOIN su ON pa.unit_id = su.unit_id AND pa.rule_id = su.rule_id AND "start" = ps AND "end" = pe AND value = pv
