@@ -1,4 +1,5 @@
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,22 @@ def test_counts_and_exit_codes(spark):
     assert O.exit_code(found.where("false"), none, 1).first().exit_code == 0
     assert O.exit_code(found, one, 1).first().exit_code == 3
     assert O.summary(found.where("false")).first().highest_severity is None
+    totals = spark.createDataFrame([(2, 30)], "files_scanned long, bytes_scanned long")
+    block = O.summary_block(found, one.union(one), totals).first()
+    assert (block.total_findings, block.distinct_secrets, block.highest_severity, block.files_scanned, block.bytes_scanned, block.error_count) == (3, 3, "critical", 2, 30, 2)
+    assert block.by_severity == {"low": 0, "medium": 1, "high": 1, "critical": 1} and block.by_category == {"database": 1, "github": 1, "unknown": 1} and sum(block.by_confidence.values()) == 3
+    nothing = O.summary_block(found.where("false"), none, totals).first()
+    assert (nothing.total_findings, nothing.highest_severity, nothing.by_category) == (0, None, {})
+    assert O.error_codes(one.union(one).union(spark.createDataFrame([("p", None, "r"), ("p", "vanished", "r")], none.schema))).first().codes == ["binary", "unknown", "vanished"]
+    assert O.error_codes(none).first().codes == []
+
+
+def test_masks_of_rules(spark):
+    shown = tuple(replace(r, keep_prefix=4, keep_suffix=2) if r.rule_id == "github-pat-classic" else r for r in RULES)
+    found = detect(units(spark, f'"{GH}" {DB}'), shown)
+    assert rows(found, "rule_id", "masked_value") == [("database-uri-with-password", "*" * 12), ("github-pat-classic", GH[:4] + "*" * 12 + GH[-2:])]
+    with pytest.raises(ValueError):
+        replace(RULES[0], keep_prefix=-1)
 
 
 def test_baseline(spark, tmp_path):
@@ -138,7 +155,7 @@ def test_baseline(spark, tmp_path):
     path = tmp_path / "b.json"
     path.write_text(B.as_json(known.select(*B.IDENTITY, "category", "severity", "confidence")))
     assert rows(B.only_new(now, B.read(spark, str(path))), "rule_id") == [("database-uri-with-password",)]
-    path.write_text('{"entries": [{}]}')
+    path.write_text('{"schema_version": 1, "entries": [{}]}')
     with pytest.raises(ValueError):
         B.read(spark, str(path))
 

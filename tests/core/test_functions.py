@@ -98,3 +98,26 @@ def test_binary_verdicts(spark):
     assert [r.x for r in df.select("i", paths.verdict(F.col("b")).alias("x")).orderBy("i").collect()] == want
     odd = spark.createDataFrame([(bytearray(split),)], "b binary").select(paths.verdict(F.col("b"), window=8191).alias("x")).first().x
     assert odd == "text"
+
+
+def test_excerpts(spark):
+    cases = [
+        ("key = abc;", [(6, 9)], "key = ************;"),
+        ("abcdef", [(3, 5), (0, 2), (2, 3)], "************f"),
+        ("abcdef", [(4, 4), (9, 12), (-3, 1), (5, 99)], "************bcde************"),
+        ("abcdef", [(0, 6), (2, 3)], "************"),
+        ("a\x1b[31mb\u202ec", [(1, 2)], "a************[31mbc"),
+        ("plain", [], "plain"),
+        ("", [(0, 3)], ""),
+        ("😀é😀", [(1, 2)], "😀************😀"),
+    ]
+    df = spark.createDataFrame([(i, line, spans) for i, (line, spans, _) in enumerate(cases)], "i int, line string, spans array<struct<start:int,end:int>>")
+    got = df.select("i", T.sanitize_excerpt(F.col("line"), F.col("spans")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == [want for _, _, want in cases]
+
+
+def test_paths_of_reports_and_masks_of_padded_values(spark):
+    rows = ["a/b.txt", "/../a/./b\x1b\n.txt", "..\\x", "../..", "\u202e", "p" * 4096, "p" * 4097, "x/" * 3000 + "y"]
+    assert values(spark, rows, paths.report_path) == ["a/b.txt", "a/b.txt", "x", None, None, "p" * 4096, None, None]
+    padded = ["\t0123456789abcdefghij\u00a0", " 0123456789abcdefghij\n", "0123456789\tabcdefghijklm"]
+    assert values(spark, padded, lambda v: info.mask(v, 4, 2)) == ["0123************ij"] * 2 + ["*" * 12]

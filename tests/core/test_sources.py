@@ -58,7 +58,7 @@ def test_reports(spark, tmp_path):
     tree(tmp_path)
     s = scan.scan_path(spark, str(tmp_path))
     text, data = report.render_text(s.findings, s.errors), json.loads(report.render_json(s.findings, s.errors))
-    assert "src/a.py:1:6" in text and data["summary"]["findings"] == 1 and data["findings"][0]["confidence"] == 3
+    assert "src/a.py:1:6" in text and data["summary"]["total_findings"] == 1 and data["summary"]["by_category"] == {"github": 1} and data["summary"]["error_count"] == 3 and data["findings"][0]["confidence"] == 3
     sarif = json.loads(report.render_sarif(s.findings, s.errors))["runs"][0]
     assert [r["id"] for r in sarif["tool"]["driver"]["rules"]] == ["github-pat-classic", "scan-error"] and sarif["results"][0]["level"] == "error"
     assert "github-pat-classic" in report.render_markdown(s.findings, s.errors)
@@ -82,10 +82,77 @@ def test_history(spark, tmp_path):
     (tmp_path / "a.txt").write_text("gone\n")
     (tmp_path / "c.bin").write_bytes(b"\0\1")
     run("add", "."), run("commit", "-qm", "two")
-    found, status = git.scan_history(spark, str(tmp_path))
-    assert sorted((r.path, r.line) for r in found.collect()) == [("a.txt", 1), ("b.txt", 1)]
-    assert sorted(r.status for r in status.collect()) == ["binary", "scanned", "scanned"]
-    assert git.scan_history(spark, str(tmp_path), max_commits=1)[0].count() == 1
+    h = git.scan_history(spark, str(tmp_path))
+    assert sorted((r.path, r.line) for r in h.findings.collect()) == [("a.txt", 1), ("b.txt", 1)]
+    assert sorted(r.status for r in h.status.collect()) == ["binary", "scanned", "scanned"] and h.errors.count() == 0
+    assert h.counters.first().asDict() == {"blobs_seen": 3, "blobs_scanned": 2, "blobs_binary": 1, "blobs_too_large": 0, "blobs_unreadable": 0, "commits": 2, "paths_filtered": 0}
+    cut = git.scan_history(spark, str(tmp_path), max_commits=1)
+    assert cut.findings.count() == 1 and [(r.path, r.code) for r in cut.errors.collect()] == [(None, "history-truncated")]
+    cut = git.scan_history(spark, str(tmp_path), max_refs=2, max_blobs=1)
+    assert sorted(r.reason[:20] for r in cut.errors.collect()) == ["only the newest 1 ob", "only the newest 2 re"] and cut.counters.first().blobs_seen == 1
+    assert len(list(git.inventory(str(tmp_path)))) == 2 + 2 + 4 - 1  # commits, trees, distinct contents
+    for bad in ({"timeout": 0}, {"since": "--output=x"}, {"until": "9" * 200}):
+        with pytest.raises(ValueError):
+            git.scan_history(spark, str(tmp_path), **bad)
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "node_modules/k.js").write_text(f"x = '{GH}'\n")
+    (tmp_path / "large.txt").write_bytes(b"x" * 700_000)
+    run("add", "-f", ".")
+    assert [f[0] for f in git.staged(str(tmp_path)).files] == ["large.txt", "node_modules/k.js"]
+    run("commit", "-qm", "three")
+    filtered = git.scan_history(spark, str(tmp_path), path_filters=True)
+    assert filtered.counters.first().paths_filtered == 2 and "node_modules/k.js" not in {r.path for r in filtered.findings.collect()}
+    names = [n for n, _ in git.inventory(str(tmp_path))] + ["0" * 40]
+    plain = {n: git.git(str(tmp_path), "cat-file", "blob", n) for n, k, _ in git.headers(str(tmp_path), names) if k == "blob"}
+    assert {n: c for n, k, _, c in git.objects(str(tmp_path), names) if k == "blob"} == plain
+    small = {n: (k, c) for n, k, _, c in git.objects(str(tmp_path), names, 1000)}
+    assert small["0" * 40] == (None, None) and sum(k == "blob" and c is None for k, c in small.values()) == 1
+    with pytest.raises(git.GitError):
+        list(git.inventory(str(tmp_path), timeout=0.0001))
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    tree(tmp_path)
+    known, folder = str(tmp_path / "known"), str(tmp_path / "src")
+    assert scan.main(["scan", folder, "--baseline-output", known, "--format", "json", "--output", str(tmp_path / "r.json")]) == 3
+    assert "binary, invalid-encoding" in capsys.readouterr().err
+    summary = json.loads((tmp_path / "r.json").read_text())["summary"]
+    assert summary["files_scanned"] == 2 and summary["highest_severity"] == "high"
+    for name in ("bin.txt", "bad.txt", "late.txt"):
+        (tmp_path / "src" / name).unlink()
+    assert scan.main(["scan", folder]) == 1 and "2 texts of" in capsys.readouterr().out
+    assert scan.main(["scan", folder, "--baseline", known, "--fail-on-new"]) == 0
+    assert scan.main(["scan", folder, "--fail-on", "critical"]) == 0
+    data = json.loads((tmp_path / "known").read_text())
+    for broken in (data | {"schema_version": 2}, data | {"entries": data["entries"] * 2}, {"entries": []}):
+        (tmp_path / "broken").write_text(json.dumps(broken))
+        assert scan.main(["scan", folder, "--baseline", str(tmp_path / "broken")]) == 2
+    assert scan.main(["scan", folder, "--fail-on-new"]) == 2 and scan.main(["scan"]) == 2 and scan.main(["--version"]) == 0
+    capsys.readouterr()
+    assert scan.main(["rules", "list", "--format", "json"]) == 0 and len(json.loads(capsys.readouterr().out)["rules"]) == 15
+
+    def fail(error):
+        def run(*_, **__):
+            raise error
+
+        monkeypatch.setattr(scan, "scan_path", run)
+        return scan.main(["scan", folder])
+
+    assert fail(KeyboardInterrupt()) == 130 and fail(RuntimeError(GH)) == 4
+    assert GH not in capsys.readouterr().err
+
+
+def test_names_are_literal_and_vanished_files_are_errors(spark, tmp_path):
+    for name in ("[id].tsx", "a{b,c}.py", "star*.txt", "what?.txt", "per%20cent.txt"):
+        (tmp_path / name).write_text(f"k = '{GH}'\n")
+    s = scan.scan_path(spark, str(tmp_path))
+    assert sorted(r.path for r in s.findings.collect()) == ["[id].tsx", "a{b,c}.py", "per%20cent.txt", "star*.txt", "what?.txt"]
+    w = files.walk(str(tmp_path))
+    (tmp_path / "[id].tsx").unlink()
+    s = scan.scan_walk(spark, w)
+    assert [(r.path, r.code) for r in s.errors.collect()] == [("[id].tsx", "vanished")] and s.findings.count() == 4
+    (tmp_path / "large").write_bytes(b"x" * 50)
+    assert [(r.code, r.size, r.text) for r in files.read_files(spark, [("large", str(tmp_path / "large"), 50)], 20).collect()] == [("too-large", 50, None)]
 
 
 def test_config(tmp_path):

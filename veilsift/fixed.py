@@ -10,7 +10,7 @@ SARIF_RANK = {"verified": 100.0, "high_confidence": 90.0, "probable": 60.0, "can
 
 # The entropy screen.
 MIN_LENGTH, MAX_PROSE_WORDS, MIN_ENTROPY, MAX_ENTROPY, MIN_NORMALIZED = 20, 2, 3.5, 8.0, 0.8
-MAX_TOKEN, MAX_MATCH, MAX_PATH, LINE_CAP = 4096, 32_768, 4096, 65_536
+MAX_TOKEN, MAX_MATCH, MAX_PATH, MAX_DATE, LINE_CAP = 4096, 32_768, 4096, 128, 65_536
 HASH_LENGTHS = (32, 40, 64)
 ENTROPY_RULE = "high-entropy-string"
 

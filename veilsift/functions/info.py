@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .. import fixed as X
 from .text import has_controls, let
 
+#: What counts as white space at a value's ends.
+WHITE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+
 
 def shannon_entropy(value: Column) -> Column:
     """Bits a character; 0 for the empty string. Terms are added in order of first appearance."""
@@ -60,7 +63,7 @@ def mask(value: Column, prefix: int = 0, suffix: int = 0) -> Column:
         raise ValueError("a mask can't reveal fewer than no characters")
     prefix = min(prefix, X.MAX_REVEALED)
     suffix = min(suffix, X.MAX_REVEALED - prefix)
-    v = F.trim(value)
+    v = F.regexp_replace(value, rf"^{WHITE}+|{WHITE}+\z", "")
     n = F.length(v)
     shown = F.concat(F.substr(v, F.lit(1), F.lit(prefix)), F.lit(X.REDACTION), F.substr(v, n - suffix + 1, F.lit(suffix)))
     out = F.when((n - prefix - suffix >= X.MIN_HIDDEN) & ~has_controls(v), shown).otherwise(F.lit(X.REDACTION))

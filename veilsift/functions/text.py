@@ -159,6 +159,24 @@ def sanitize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1f\x7f-\x{9f}]", " "), r"\s+", " "))
 
 
+def sanitize_excerpt(line: Column, spans: Column, marker: str = X.REDACTION) -> Column:
+    """The line with every span (array of start, end) replaced by the marker, then without controls. Spans come in any order;
+    they are cut at the line's ends, and those that overlap or touch get one marker."""
+    if not marker:
+        raise ValueError("a marker is not empty")
+    n = F.length(line)
+    inside = F.transform(spans, lambda s: F.struct(F.greatest(s["start"].cast("int"), F.lit(0)).alias("start"), F.least(s["end"].cast("int"), n).alias("end")))
+    ordered = F.array_sort(F.filter(inside, lambda s: s["end"] > s["start"]))
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(False).alias("any"))
+
+    def step(a: Column, s: Column) -> Column:
+        joined = F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"), F.lit(True).alias("any"))
+        apart = F.struct(F.concat(a["out"], F.substr(line, a["at"] + 1, s["start"] - a["at"]), F.lit(marker)).alias("out"), s["end"].alias("at"), F.lit(True).alias("any"))
+        return F.when(a["any"] & (s["start"] <= a["at"]), joined).otherwise(apart)
+
+    return strip_controls(F.aggregate(ordered, zero, step, lambda a: F.concat(a["out"], F.substr(line, a["at"] + 1))))
+
+
 def markdown_escape(text: Column) -> Column:
     return sanitize_text(F.regexp_replace(text, r"([|`\[\]*_#<>])", r"\\$1"))
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IDENTITY = ["rule_id", "path", "line", "column", "value_fingerprint", "commit"]
+VERSION, MOST_BYTES = 1, 256_000_000
 SCHEMA = "rule_id string, path string, line int, column int, value_fingerprint string, commit string, category string, severity int, confidence int"
 
 
@@ -39,14 +41,27 @@ def updated(findings: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a baseline file: {"entries": [...]}, labels or ranks; a broken file is an error with a plain message."""
-    raw = "\n".join(r.value for r in spark.read.text(path).collect())  # one small file
+    """Entries of a baseline file: {"schema_version": VERSION, "entries": [...]} in any order; a broken file, another version or an
+    identity given twice is an error with a plain message."""
+    with open(path, encoding="utf-8") as f:  # one small file of the driver's, its name taken literally
+        raw = f.read(MOST_BYTES + 1)
+    if len(raw) > MOST_BYTES:
+        raise ValueError(f"a baseline of over {MOST_BYTES} characters: {path}")
     try:
-        entries = json.loads(raw)["entries"]
+        whole = json.loads(raw)
+        version, entries = whole["schema_version"], whole["entries"]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         rows = [tuple(e[n] if n in ("rule_id", "path", "value_fingerprint") else e.get(n) for n in names) for e in entries]
     except (ValueError, KeyError, TypeError, AttributeError) as e:
         raise ValueError(f"not a baseline: {path}") from e
+    if version != VERSION or isinstance(version, bool):
+        raise ValueError(f"a baseline of another version: {path}")
+    if any(not isinstance(r[names.index(n)], str) or not r[names.index(n)] for r in rows for n in ("rule_id", "path", "value_fingerprint")):
+        raise ValueError(f"not a baseline: {path}")
+    places = [names.index(n) for n in IDENTITY]
+    twice = [i for i, n in Counter(tuple(r[p] for p in places) for r in rows).items() if n > 1]
+    if twice:
+        raise ValueError(f"{len(twice)} identities are given twice in the baseline: {path}")
     return spark.createDataFrame(rows, SCHEMA)
 
 

@@ -35,11 +35,14 @@ def from_label(text: Column, labels: dict[str, int]) -> Column:
 def redact(merged: DataFrame, rules: Iterable[Rule] = RULES, *, key: bytes | None = None) -> DataFrame:
     """Merged rows with path, commit and commit_time to findings; the value goes in this projection."""
     category, advice = F.lit("unknown"), F.lit("Find out what the value opens, and rotate it.")
+    masked = info.mask(F.col("value"))
     for r in rules:
+        if r.keep_prefix or r.keep_suffix:
+            masked = F.when(F.col("rule_id") == r.rule_id, info.mask(F.col("value"), r.keep_prefix, r.keep_suffix)).otherwise(masked)
         category = F.when(F.col("rule_id") == r.rule_id, r.category).otherwise(category)
         advice = F.when(F.col("rule_id") == r.rule_id, r.advice).otherwise(advice)
     return merged.select(
-        "rule_id", category.alias("category"), "severity", "confidence", "detector", T.strip_controls(F.col("path")).alias("path"), "line", "column", "commit", "commit_time", info.mask(F.col("value")).alias("masked_value"), F.length("value").alias("value_length"),
+        "rule_id", category.alias("category"), "severity", "confidence", "detector", T.strip_controls(F.col("path")).alias("path"), "line", "column", "commit", "commit_time", masked.alias("masked_value"), F.length("value").alias("value_length"),
         info.fingerprint(F.col("value"), key).alias("value_fingerprint"), "entropy", F.array_sort("keywords").alias("matched_keywords"), advice.alias("remediation"), "start", "end",
     )
 
@@ -67,7 +70,7 @@ def count_by_category(findings: DataFrame) -> DataFrame:
     return findings.groupBy("category").agg(F.count(F.lit(1)).alias("findings")).orderBy("category")
 
 
-def summary(findings: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+def summary(findings: DataFrame) -> DataFrame:
     """One row: findings, distinct secrets, greatest severity, counts by severity and confidence."""
     counts = [F.count_if(F.col("severity") == rank).alias(f"severity_{name}") for name, rank in X.SEVERITIES.items()]
     counts += [F.count_if(F.col("confidence") == rank).alias(f"confidence_{name}") for name, rank in X.CONFIDENCES.items()]
@@ -75,6 +78,24 @@ def summary(findings: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     return findings.agg(F.count(F.lit(1)).alias("findings"), secrets, F.max("severity").alias("highest_severity"), *counts)
 
 
+def summary_block(findings: DataFrame, errors: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row, what a report sums up: total_findings, distinct_secrets, by_severity, by_confidence, by_category (maps of label
+    to count), highest_severity, files_scanned, bytes_scanned, error_count. totals: one row (files_scanned, bytes_scanned)."""
+    by = lambda column, labels: F.map_from_arrays(F.array(*map(F.lit, labels)), F.array(*(F.count_if(F.col(column) == rank) for rank in labels.values())))
+    first = findings.agg(
+        F.count(F.lit(1)).alias("total_findings"), F.count_distinct("rule_id", "value_fingerprint").alias("distinct_secrets"), by("severity", X.SEVERITIES).alias("by_severity"),
+        by("confidence", X.CONFIDENCES).alias("by_confidence"), label(F.max("severity"), X.SEVERITIES).alias("highest_severity"),
+    )
+    categories = count_by_category(findings).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "findings")))).alias("by_category"))
+    bad = errors.agg(F.count(F.lit(1)).alias("error_count"))
+    return first.join(categories).join(totals).join(bad)  # one row each
+
+
+def error_codes(errors: DataFrame) -> DataFrame:
+    """One row: the distinct codes of errors in order, 'unknown' for none given."""
+    return errors.agg(F.array_sort(F.collect_set(F.coalesce("code", F.lit("unknown")))).alias("codes"))
+
+
 def exit_code(findings: DataFrame, errors: DataFrame, fail_on: int | None) -> DataFrame:
     """One row: 3 if there are errors, else 1 if a finding reaches fail_on, else 0."""
     worst = findings.agg(F.max("severity").alias("worst"))

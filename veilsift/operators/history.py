@@ -38,11 +38,22 @@ def first_blobs(refs: DataFrame, most: int = X.MAX_BLOBS) -> DataFrame:
     return refs.join(first, "object_name", "left_semi")
 
 
-def blob_status(refs: DataFrame, objects: DataFrame, max_bytes: int = X.MAX_FILE_BYTES) -> DataFrame:
-    """objects (object_name, kind, size) joined to the distinct blobs of refs: missing, not-a-blob, too-large or readable."""
+def blob_status(refs: DataFrame, objects: DataFrame, max_bytes: int = X.MAX_FILE_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """objects (object_name, kind, size, and carried columns) joined to the distinct blobs of refs: missing, not-a-blob,
+    too-large or readable."""
     names = refs.select("object_name").distinct()
     status = F.when(F.col("kind").isNull(), "missing").when(F.col("kind") != "blob", "not-a-blob").when(F.col("size") > max_bytes, "too-large").otherwise("readable")
-    return names.join(objects, "object_name", "left").select("object_name", "kind", "size", status.alias("status"))
+    return names.join(objects, "object_name", "left").select("object_name", "kind", "size", status.alias("status"), *carry)
+
+
+def counters(status: DataFrame, refs: DataFrame, filtered: DataFrame) -> DataFrame:
+    """One row of what a history scan saw: status (status), refs walked (commit), refs that path filters left out (path)."""
+    one = lambda *values: F.count_if(F.col("status").isin(*values))
+    blobs = status.agg(
+        F.count(F.lit(1)).alias("blobs_seen"), one("scanned").alias("blobs_scanned"), one("binary", "invalid-encoding").alias("blobs_binary"),
+        one("too-large").alias("blobs_too_large"), one("missing").alias("blobs_unreadable"),
+    )
+    return blobs.join(refs.agg(F.count_distinct("commit").alias("commits"))).join(filtered.agg(F.count_distinct("path").alias("paths_filtered")))  # one row each
 
 
 def fan_out(findings: DataFrame, paths: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed as X
+from ..functions.text import strip_controls
 
 POLICY_REASONS = ("ignored-path", "ignored-directory", "ignored-filename", "ignored-extension", "ignored-depth", "symlink", "too-large")
 
@@ -19,6 +20,13 @@ def normalize(path: Column, fallback: Column | None = None) -> Column:
     return out if fallback is None else F.when(out != "", out).otherwise(clean(F.coalesce(fallback, F.lit(""))))
 
 
+def report_path(raw: Column, most: int = X.MAX_PATH) -> Column:
+    """A path of a history as reports show it: no controls, no '..'; null if nothing is left or it is too long."""
+    bare = strip_controls(raw)
+    clean = normalize(bare)
+    return F.when((F.length(bare) <= most) & (clean != ""), clean)
+
+
 def is_ignored_path(path: Column, ignored: Sequence[str]) -> Column:
     """Whether a normalised path is an entry or lies below one."""
     hit = F.lit(False)

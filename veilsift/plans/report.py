@@ -8,6 +8,7 @@ import re
 import tempfile
 import textwrap
 from collections import Counter
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
@@ -36,7 +37,7 @@ def _where(f: dict) -> str:
     return clean(f"{f['path']}{at}" + (f"@{f['commit'][:12]}" if f["commit"] else ""))
 
 
-def render_text(findings: DataFrame, errors: DataFrame | None = None, *, fingerprints: bool = True) -> str:
+def render_text(findings: DataFrame, errors: DataFrame | None = None, *, fingerprints: bool = True, totals: Mapping[str, int] | None = None) -> str:
     rows, bad = _rows(findings), _errors(errors)
     out = []
     for i, f in enumerate(rows, 1):
@@ -46,10 +47,12 @@ def render_text(findings: DataFrame, errors: DataFrame | None = None, *, fingerp
         advice = next(f["remediation"] for f in rows if f["rule_id"] == rule)
         out += ["", *textwrap.wrap(f"{rule} ({n}): {clean(advice)}", WIDTH)]
     out += ["", *(f"error {e['code']}: {clean((e['path'] or '') + ' ' + e['reason'])}" for e in bad)] if bad else []
-    return "\n".join([*out, "", f"{len(rows)} findings, {len({(f['rule_id'], f['value_fingerprint']) for f in rows})} distinct secrets, {len(bad)} errors"]) + "\n"
+    read = [f"{totals['files_scanned']} texts of {totals['bytes_scanned']} bytes read"] if totals else []
+    return "\n".join([*out, "", *read, f"{len(rows)} findings, {len({(f['rule_id'], f['value_fingerprint']) for f in rows})} distinct secrets, {len(bad)} errors"]) + "\n"
 
 
-def render_json(findings: DataFrame, errors: DataFrame | None = None, *, fingerprints: bool = True) -> str:
+def render_json(findings: DataFrame, errors: DataFrame | None = None, *, fingerprints: bool = True, totals: Mapping[str, int] | None = None) -> str:
+    """totals: files_scanned and bytes_scanned, where a scan knows them."""
     rows, out = _rows(findings), []
     for f in rows:
         one = {k: f[k] for k in ("rule_id", "category", "confidence", "detector", "masked_value", "value_length", "entropy")}
@@ -59,16 +62,27 @@ def render_json(findings: DataFrame, errors: DataFrame | None = None, *, fingerp
         if f["matched_keywords"]:
             one["matched_keywords"] = sorted(f["matched_keywords"])
         out.append(one)
-    severities = Counter(_SEVERITY[f["severity"]] for f in rows)
-    summary = {"findings": len(rows), "by_severity": {k: severities[k] for k in X.SEVERITIES}}
-    return json.dumps({"schema_version": VERSION, "findings": out, "errors": _errors(errors), "summary": summary}, sort_keys=True, separators=(",", ":"))
+    severities, confidences = (Counter(names[f[k]] for f in rows) for k, names in (("severity", _SEVERITY), ("confidence", _CONFIDENCE)))
+    bad = _errors(errors)
+    summary = {
+        "total_findings": len(rows),
+        "distinct_secrets": len({(f["rule_id"], f["value_fingerprint"]) for f in rows}),
+        "by_severity": {k: severities[k] for k in X.SEVERITIES},
+        "by_confidence": {k: confidences[k] for k in X.CONFIDENCES},
+        "by_category": dict(sorted(Counter(f["category"] for f in rows).items())),
+        "highest_severity": _SEVERITY[max(f["severity"] for f in rows)] if rows else None,
+        "files_scanned": (totals or {}).get("files_scanned", 0),
+        "bytes_scanned": (totals or {}).get("bytes_scanned", 0),
+        "error_count": len(bad),
+    }
+    return json.dumps({"schema_version": VERSION, "findings": out, "errors": bad, "summary": summary}, sort_keys=True, separators=(",", ":"))
 
 
 def _cell(text: str) -> str:
     return clean(re.sub(r"([|`\[\]*_#<>])", r"\\\1", text))
 
 
-def render_markdown(findings: DataFrame, errors: DataFrame | None = None, *, fingerprints: bool = True) -> str:
+def render_markdown(findings: DataFrame, errors: DataFrame | None = None, *, fingerprints: bool = True, totals: Mapping[str, int] | None = None) -> str:
     rows = _rows(findings)
     counts = Counter(_SEVERITY[f["severity"]] for f in rows)
     out = ["# Findings", "", *(f"- {k}: {counts[k]}" for k in sorted(counts)), "", "| Severity | Rule | Location | Confidence | Fingerprint |", "| --- | --- | --- | --- | --- |"]
@@ -79,7 +93,7 @@ def render_markdown(findings: DataFrame, errors: DataFrame | None = None, *, fin
     return "\n".join(out).rstrip() + "\n"
 
 
-def render_sarif(findings: DataFrame, errors: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, *, fingerprints: bool = True) -> str:
+def render_sarif(findings: DataFrame, errors: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, *, fingerprints: bool = True, totals: Mapping[str, int] | None = None) -> str:
     rows, bad = _rows(findings), _errors(errors)
     severity = {f["rule_id"]: f["severity"] for f in rows}
     names = {r.rule_id: r.name for r in rules}

@@ -33,6 +33,8 @@ class Rule:
     placeholders: tuple[str, ...] = ()
     reject_hashes: bool = False
     advice: str = ""
+    keep_prefix: int = 0
+    keep_suffix: int = 0
 
     def __post_init__(self) -> None:
         if not RULE_ID.match(self.rule_id):
@@ -41,6 +43,8 @@ class Rule:
             raise ValueError(f"not a severity: {self.severity!r}")
         if self.requires_context and not self.keywords:
             raise ValueError(f"{self.rule_id} asks for context but names no keyword")
+        if self.keep_prefix < 0 or self.keep_suffix < 0:
+            raise ValueError(f"{self.rule_id} would reveal fewer than no characters")
         if not self.pattern:
             raise ValueError(f"{self.rule_id} has no pattern")
 
@@ -74,7 +78,7 @@ RULES: tuple[Rule, ...] = (
 
 TABLE = (
     "rule_id string, category string, severity int, priority int, pattern string, keywords array<string>, min_entropy double, exact boolean, base_confidence int, value_group int, max_length int,"
-    " requires_context boolean, suppress_placeholders boolean, placeholders array<string>, reject_hashes boolean, advice string"
+    " requires_context boolean, suppress_placeholders boolean, placeholders array<string>, reject_hashes boolean, advice string, keep_prefix int, keep_suffix int"
 )
 
 

@@ -66,6 +66,9 @@ class Config:
     def source_of(self, name: str) -> str:
         return self.sources.get(name, "default")
 
+    def is_default(self, name: str) -> bool:
+        return self.source_of(name) == "default"
+
 
 def _value(name: str, raw: Any, layer: str) -> Any:
     s = SETTINGS[name]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import stat
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,23 +119,66 @@ def walk(root: str, options: WalkOptions = WalkOptions()) -> Walk:
     return out
 
 
-def judged(contents: DataFrame, max_bytes: int = X.MAX_FILE_BYTES) -> DataFrame:
-    """contents (path, content, length) to path, text, size, code: the text, or why there is none."""
+def judged(contents: DataFrame, max_bytes: int = X.MAX_FILE_BYTES, keep: Sequence[str] = ()) -> DataFrame:
+    """contents (path, content, length, and columns to keep) to path, text, size, code: the text, or why there is none.
+
+    Without content there is neither. A column read_code tells why a file could not be read.
+    """
     verdict = paths.verdict(F.col("content"))
     code = F.when(F.col("length") > max_bytes, "too-large").otherwise(paths.error_code(verdict))
     code = F.coalesce(code, F.when(~F.is_valid_utf8(F.col("content").cast("string")), "invalid-encoding"))
-    text = F.when(code.isNull(), F.regexp_replace(F.col("content").cast("string"), "^﻿", ""))
-    return contents.select("path", text.alias("text"), F.col("length").alias("size"), code.alias("code"))
-
-
-def read_files(spark: SparkSession, files: Sequence[str], root: str, max_bytes: int = X.MAX_FILE_BYTES) -> DataFrame:
-    """The files as path (below root), text, size, code."""
+    if "read_code" in contents.columns:
+        code = F.coalesce(F.col("read_code"), code)
+    text = F.when(code.isNull(), F.regexp_replace(F.col("content").cast("string"), "^\ufeff", ""))
+    return contents.select("path", text.alias("text"), F.col("length").alias("size"), code.alias("code"), *keep)
+
+
+#: Bytes of files that a task aims at, and that one batch of contents aims at.
+TASK_BYTES, BATCH_BYTES = 64_000_000, 8_000_000
+CONTENTS = "path string, content binary, length long, read_code string"
+
+
+def _content(file: str, most: int) -> tuple[bytes | None, int | None, str | None]:
+    """Up to most + 1 bytes of a file, its length, and why it can't be read."""
+    try:
+        with open(file, "rb") as f:
+            content = f.read(most + 1)
+            return content, max(len(content), os.fstat(f.fileno()).st_size) if len(content) > most else len(content), None
+    except FileNotFoundError:
+        return None, None, "vanished"
+    except IsADirectoryError:
+        return None, None, "is-directory"
+    except OSError:
+        return None, None, "read-failed"
+
+
+def read_files(spark: SparkSession, files: Sequence[tuple[str, str, int]], max_bytes: int = X.MAX_FILE_BYTES) -> DataFrame:
+    """A walk's files (path, file, size) as path, text, size, code. Names are taken literally; a file that can't be read is a row
+    with its code. Workers open the files, so on a cluster they lie on a mount that all share."""
     if not files:
         return spark.createDataFrame([], "path string, text string, size long, code string")
-    raw = spark.read.format("binaryFile").load([f"file://{f}" for f in files])
-    prefix = f"file:{root.rstrip('/')}/"
-    path = F.replace(F.replace(F.col("path"), F.lit("file:///"), F.lit("file:/")), F.lit(prefix), F.lit(""))
-    return judged(raw.select(path.alias("path"), "content", "length"), max_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for b in batches:
+            for path, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows.append((path, *_content(file, max_bytes)))
+                held += len(rows[-1][1] or b"")
+                if held >= BATCH_BYTES:
+                    yield _contents(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _contents(rows)
+
+    slices = max(spark.sparkContext.defaultParallelism, sum(size for _, _, size in files) // TASK_BYTES + 1)
+    listed = spark.createDataFrame([(path, file) for path, file, _ in files], "path string, file string").repartition(min(slices, len(files)))
+    return judged(listed.mapInArrow(run, CONTENTS), max_bytes)
+
+
+def _contents(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.binary(), pa.int64(), pa.string())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in CONTENTS.split(", ")])
 
 
 def as_units(read: DataFrame) -> DataFrame:
