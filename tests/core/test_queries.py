@@ -6,7 +6,7 @@ from veilsift import queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["value_entropy", "non_secret_structure", "tokens", "pattern_matches", "fusion_merged", "findings", "baseline_classes", "blob_newest_ref", "path_decision", "merge_spans", "tumbling_counts", "max_commits", "severity_by_detector"]
+CHECKED = ["value_entropy", "non_secret_structure", "tokens", "pattern_matches", "fusion_merged", "findings", "baseline_classes", "blob_newest_ref", "path_decision", "merge_spans", "tumbling_counts", "max_commits", "severity_by_detector", "excerpts", "report_paths", "error_codes"]
 
 
 def plain(v):

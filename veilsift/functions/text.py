@@ -146,6 +146,28 @@ def prose_words(value: Column) -> Column:
 CONTROLS = r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]"
 
 
+#: Lengths that one block of `running` sums.
+BLOCK = 256
+
+
+def running(lengths: Column, use: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """use(before), where before(i) is the sum of the first i lengths: a block's start is looked up, and fewer than BLOCK
+    lengths are added to it, so that many of them cost no more than a few."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    blocks = lambda ls: F.sequence(F.lit(0), (F.size(ls) / BLOCK).cast("int"))
+
+    def of(ls: Column) -> Column:
+        sums = F.transform(blocks(ls), lambda b: total(F.slice(ls, b * BLOCK + 1, BLOCK)))
+        starts = let(sums, lambda s: F.transform(blocks(ls), lambda b: total(F.slice(s, 1, b))))
+
+        def looked_up(begin: Column) -> Column:
+            return use(lambda i: F.get(begin, (i / BLOCK).cast("int")) + total(F.slice(ls, (i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)))
+
+        return let(starts, looked_up)
+
+    return let(lengths, of)
+
+
 def strip_controls(text: Column) -> Column:
     return F.regexp_replace(text, CONTROLS, "")
 

@@ -33,9 +33,12 @@ def raw_tokens(units: DataFrame, min_length: int = 1) -> DataFrame:
     assigned = lambda x: ~first(x).isin('"', "'", "`", "#") & (F.length(x) >= min_length + 2) & F.rlike(x, F.lit(X.NAME_BEFORE_VALUE))
     found = T.let(
         lexemes(F.col("text")),
-        lambda all_: F.transform(
+        lambda all_: T.let(
             F.filter(F.transform(all_, lambda x, i: F.struct(x.alias("lexeme"), i.alias("at"))), lambda s: quoted(s["lexeme"]) | assigned(s["lexeme"])),
-            lambda s: F.struct(s["lexeme"].alias("lexeme"), F.length(F.array_join(F.slice(all_, 1, s["at"]), "")).alias("offset")),
+            lambda kept: F.when(
+                F.size(kept) > 0,
+                T.running(F.transform(all_, lambda x: F.length(x)), lambda before: F.transform(kept, lambda s: F.struct(s["lexeme"].alias("lexeme"), before(s["at"]).alias("offset")))),
+            ),
         ),
     )
     rows = units.select("*", F.explode(found).alias("t"))

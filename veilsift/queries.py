@@ -83,6 +83,40 @@ _of_value("strip_controls", T.strip_controls, "regexp_replace(v, '[\\p{Cc}\\p{Cf
 _of_value("has_controls", T.has_controls, "regexp_matches(v, '[\\p{Cc}\\p{Cf}\\p{Zl}\\p{Zp}]')")
 _of_value("sanitize_text", T.sanitize_text, S.sanitize("v"))
 _of_value("markdown_escape", T.markdown_escape, S.sanitize("regexp_replace(v, '([|`\\[\\]*_#<>])', '\\\\\\1', 'g')"))
+
+
+_STRIPPED = r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]"
+_COVERED = "(({i} >= id % 7 AND {i} < id % 7 + 3) OR ({i} >= id % 5 + 4 AND {i} < id % 5 + 6))"
+
+
+@query(
+    f"SELECT id, regexp_replace(array_to_string(list_transform(range(length(v)), lambda i: CASE WHEN NOT {_COVERED.format(i='i')} THEN substr(v, (i + 1)::INT, 1)"
+    f" WHEN i > 0 AND {_COVERED.format(i='(i - 1)')} THEN '' ELSE '{X.REDACTION}' END), ''), '{_STRIPPED}', '', 'g') AS excerpt FROM ({S.values_sql(True)})"
+)
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two spans of every value replaced; they may overlap, touch or end beyond the value."""
+    span = lambda start, n: F.struct(start.cast("int").alias("start"), (start + n).cast("int").alias("end"))
+    spans = F.array(span(F.col("id") % 5 + 4, 2), span(F.col("id") % 7, 3))
+    return values(spark, sf_dir).select("id", T.sanitize_excerpt(F.col("v"), spans).alias("excerpt"))
+
+
+@query(
+    "WITH raw AS (SELECT id, regexp_replace('../a' || chr(27) || '\\./' || v || CASE WHEN id % 50 = 0 THEN repeat('/p', 2048) ELSE '' END, '" + _STRIPPED + "', '', 'g') AS p FROM (" + S.values_sql(True) + ")),"
+    + " clean AS (SELECT id, p, array_to_string(list_filter(string_split(replace(p, '\\', '/'), '/'), lambda s: s NOT IN ('', '.', '..')), '/') AS c FROM raw)"
+    + f" SELECT id, CASE WHEN length(p) <= {X.MAX_PATH} AND c <> '' THEN c END AS path FROM clean"
+)
+def report_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths with an escape, '..', a backslash, and some too long to report."""
+    raw = F.concat(F.lit("../a\x1b\\./"), F.col("v"), F.when(F.col("id") % 50 == 0, F.repeat(F.lit("/p"), 2048)).otherwise(F.lit("")))
+    return values(spark, sf_dir).select("id", paths.report_path(raw).alias("path"))
+
+
+@query("SELECT array_to_string(list_sort(list(DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'binary' WHEN 1 THEN 'vanished' WHEN 2 THEN 'too-large' ELSE 'unknown' END)), ',') AS codes FROM orders")
+def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    errors = table(spark, sf_dir, "orders").select(F.when(k == 0, "binary").when(k == 1, "vanished").when(k == 2, "too-large").alias("code"))
+    return O.error_codes(errors).select(F.array_join("codes", ",").alias("codes"))
+
 _of_value("credential_terms", lambda v: T.keyword_score(F.concat(F.lit("api_key access-token token "), v)), "2")
 _of_value("label_rank", lambda v: O.from_label(F.element_at(F.array(F.lit("LOW"), F.lit("High-Confidence"), F.lit("critical"), F.lit("?")), (F.length(v) % 4 + 1).cast("int")), X.SEVERITIES | X.CONFIDENCES), "CASE length(v) % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 4 END::INT")
 
@@ -272,6 +306,27 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.summary(found(spark, sf_dir))
 
 
+_LABEL = " ".join(f"WHEN {v} THEN '{k}'" for k, v in X.SEVERITIES.items())
+
+
+@query(
+    f"{S.findings_cte()}, er AS (SELECT count(*) FILTER (WHERE o_orderkey % 3 = 0) AS error_count, count(*) AS files_scanned, sum(o_orderkey)::BIGINT AS bytes_scanned FROM orders)"
+    " SELECT (SELECT count(*) FROM fi) AS total_findings, (SELECT count(DISTINCT rule_id || ' ' || value_fingerprint) FROM fi) AS distinct_secrets,"
+    f" (SELECT CASE max(severity) {_LABEL} END FROM fi) AS highest_severity, coalesce((SELECT string_agg(category || '=' || n, ',' ORDER BY category) FROM (SELECT category, count(*) AS n FROM fi GROUP BY 1)), '') AS by_category,"
+    f" (SELECT concat_ws(',', {', '.join(f'count(*) FILTER (WHERE severity = {v})' for v in X.SEVERITIES.values())}) FROM fi) AS by_severity,"
+    f" (SELECT concat_ws(',', {', '.join(f'count(*) FILTER (WHERE confidence = {v})' for v in X.CONFIDENCES.values())}) FROM fi) AS by_confidence, er.* FROM er"
+)
+def summary_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report sums up, its maps as text."""
+    orders = table(spark, sf_dir, "orders")
+    errors = orders.where(F.col("o_orderkey") % 3 == 0).select(F.lit("p").alias("path"), F.lit("binary").alias("code"), F.lit("r").alias("reason"))
+    totals = orders.agg(F.count(F.lit(1)).alias("files_scanned"), F.sum("o_orderkey").cast("long").alias("bytes_scanned"))
+    block = O.summary_block(found(spark, sf_dir), errors, totals)
+    shown = lambda name, keys: F.concat_ws(",", *(F.col(name)[k].cast("string") for k in keys)).alias(name)
+    pairs = F.array_join(F.transform(F.map_entries("by_category"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return block.select("total_findings", "distinct_secrets", "highest_severity", pairs.alias("by_category"), shown("by_severity", X.SEVERITIES), shown("by_confidence", X.CONFIDENCES), "files_scanned", "bytes_scanned", "error_count")
+
+
 @query(f"{S.findings_cte()} SELECT {_FI_OUT} FROM fi WHERE confidence >= 3")
 def min_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found(spark, sf_dir).where("confidence >= 3"))
