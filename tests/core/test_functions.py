@@ -121,3 +121,11 @@ def test_paths_of_reports_and_masks_of_padded_values(spark):
     assert values(spark, rows, paths.report_path) == ["a/b.txt", "a/b.txt", "x", None, None, "p" * 4096, None, None]
     padded = ["\t0123456789abcdefghij\u00a0", " 0123456789abcdefghij\n", "0123456789\tabcdefghijklm"]
     assert values(spark, padded, lambda v: info.mask(v, 4, 2)) == ["0123************ij"] * 2 + ["*" * 12]
+
+
+def test_running_sums_over_blocks(spark):
+    lengths = [(i * 7) % 11 for i in range(2 * T.BLOCK + 3)]
+    at = [0, 1, T.BLOCK - 1, T.BLOCK, T.BLOCK + 1, 2 * T.BLOCK, 2 * T.BLOCK + 3]
+    df = spark.createDataFrame([(lengths, at), ([5], [0, 1]), ([], [0])], "lengths array<int>, at array<int>")
+    got = df.select("lengths", "at", T.running(F.col("lengths"), lambda before: F.transform(F.col("at"), before)).alias("sums")).collect()
+    assert all(r.sums == [sum(r.lengths[:i]) for i in r["at"]] for r in got) and len(got) == 3
