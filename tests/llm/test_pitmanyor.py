@@ -64,11 +64,13 @@ def test_probabilities_of_a_context_add_up_to_one(spark):
     rows = sample()
     docs = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text").where("doc_id is not null")
     train = [r for r in rows if r[0] is not None]
-    shards = M.build(M.counts(docs), 3)
+    shards = M.build(M.counts(docs, 3), 3)
     shards.persist()
-    model = M.sample(shards, M._sum_rows(shards))
+    totals = M._sum_rows(shards)
+    hyper = M.draws(totals)
+    model = M.sample(shards, totals, hyper)
     model.persist()
-    p, head = M.Predictive.of(M._sample_sums(model)), M._head(model)
+    p, head = M.Predictive.of(M._sample_sums(model), hyper), M._head(model)
     seen = {w for _, t, _ in train for w in words_of(t)}
     hashes = np.array([xxhash.xxh64_intdigest(M.END if w is None else w) for w in seen], np.uint64).view(np.int64)
     at, there = head.find(hashes)
@@ -98,3 +100,42 @@ def test_no_training_text_and_empty(spark):
     out = M.scored(df).collect()
     assert len(out) == df.count() and all((r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0) and r.score == 0 for r in out)
     assert M.scored(df.where("false")).count() == 0
+
+
+def test_draw_finds_the_discount_of_a_seating():
+    """Restaurants seated customer by customer with known parameters."""
+    rng = np.random.default_rng(3)
+    discount, strength, base = 0.5, 2.0, 1 / 50
+    customers, tables, n, t = [], [], [], []
+    for _ in range(150):
+        dishes: dict[int, list[int]] = defaultdict(list)
+        opened = 0
+        for i in range(60):
+            if rng.random() < (strength + discount * opened) / (strength + i):
+                dishes[int(rng.integers(0, 50))].append(1)
+                opened += 1
+            else:
+                every = [(d, k) for d, sizes in dishes.items() for k in range(len(sizes))]
+                weight = np.array([dishes[d][k] - discount for d, k in every])
+                d, k = every[rng.choice(len(every), p=weight / weight.sum())]
+                dishes[d][k] += 1
+        customers.append(60.0)
+        tables.append(float(opened))
+        n += [sum(s) for s in dishes.values()]
+        t += [len(s) for s in dishes.values()]
+    evidence = M._evidence(np.array(n), np.array(t))
+    d, s = M.draw(evidence, np.array(customers), np.array(tables), rng)
+    assert abs(d - discount) <= 0.1 and 0.5 <= s <= 8
+
+
+def test_head_holds_the_most_frequent_words(spark, monkeypatch):
+    """By counts over all texts, whatever the parts."""
+    docs = spark.createDataFrame([(i, "often " * 50 + f"rare{i} seldom{i % 3}", "") for i in range(40)], SCHEMA)
+    shards = M.build(M.counts(docs.select("text"), 5), 5).persist()
+    totals = M._sum_rows(shards)
+    model = M.sample(shards, totals, M.draws(totals)).persist()
+    assert len(M._head(model).hash) == 45
+    monkeypatch.setattr(M, "HEAD_ENTRIES", 60)
+    head = M._head(model)
+    often = np.array([xxhash.xxh64_intdigest(b"often")], np.uint64).view(np.int64)
+    assert head.find(often)[1].all() and head.count.min() >= 13 and len(head.hash) < 45

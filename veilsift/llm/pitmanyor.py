@@ -1,19 +1,22 @@
 """Hierarchical Pitman-Yor language model (Teh 2006), its Chinese-restaurant seating sampled by Gibbs.
 
-Every word follows the word before it. The ending of that word (its last three bytes, hashed to CONTEXTS classes) names
-the context restaurant; all context restaurants share one parent, whose base is uniform over the training vocabulary
-and one unknown word. A restaurant's customers of a dish are its counts; each table of a context restaurant sends one
-customer to the parent.
+Every word follows the word before it. That word, hashed whole to one of CONTEXTS classes, names the context restaurant;
+all context restaurants share one parent, whose base is uniform over the training vocabulary and one unknown word. A
+restaurant's customers of a dish are its counts; each table of a context restaurant sends one customer to the parent.
+With more distinct words than CONTEXTS, words that share a class share a restaurant.
 
 Sampling is blocked by dish: all customers of a dish in a restaurant are reseated at once, the number of tables drawn
-from its exact conditional (generalised Stirling numbers) up to EXACT customers, and by seating them in turn beyond.
+from its exact conditional (generalised Stirling numbers) up to EXACT customers, and by seating them in turn beyond;
+what the dish itself sends to the parent is left out of its base, and held fixed while it is reseated.
 Everything a word needs (its counts in all contexts, its tables there and at the parent) is on one row, and words are
 dealt by hash, so a sweep needs no shuffle; only the restaurants' totals (CONTEXTS numbers) are summed over tasks between
-the two rounds, and follow each task's own changes within a round. The first round burns in; the second burns in
-further and then keeps SAMPLES seatings, whose predictive probabilities are averaged.
+the two rounds, and follow each task's own changes within a round. The first round burns in; then each level's discount
+and strength are drawn from their posterior given the seating, on a grid; the second round burns in further and then
+keeps SAMPLES seatings, whose predictive probabilities are averaged.
 
-Counts are of all training texts. Scoring looks up the most frequent words' rows (at most HEAD_ENTRIES, broadcast) where
-the text is; the other words go, packed, to the tasks that hold their rows, which send back sums per document. Words are
+Counts are of all training texts; a task packs its counts by the part they go to. Scoring looks up the most frequent
+words' rows (by their counts over all texts, at most HEAD_ENTRIES, broadcast) where the text is; the other words go,
+packed, to the tasks that hold their rows, which send back sums per document. Words are
 known by XXH64.
 
 A hot word is counted per task before it is shuffled and has at most CONTEXTS entries. Nulls: a null text has the end
@@ -23,8 +26,10 @@ and every token is unknown with probability 1. An empty table gives an empty res
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import durable, ship
 
-CONTEXTS, SAMPLES = 1024, 4
-#: Discount and strength of the context restaurants and of the parent.
-DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 5.0, 0.8, 10.0
+CONTEXTS, SAMPLES = 1 << 16, 4
+#: Discount and strength of the context restaurants and of the parent in the first round; then they are drawn from GRID.
+LEAF, ROOT = (0.8, 5.0), (0.8, 10.0)
+GRID = np.arange(1, 20) / 20, np.geomspace(0.1, 1000, 17)
 BURN_IN, MORE_BURN_IN, EXACT = 3, 2, 60
 HEAD_ENTRIES, HEAD_WORDS = 1_500_000, 250_000
 #: Words of a worker's cache, characters of text handled at once, and count rows a task aims at.
@@ -87,15 +93,15 @@ class Lexicon(dict):
 
 def context_of(word: bytes) -> int:
     """The restaurant that a word's follower enters; 0 after a document's end."""
-    return 0 if word == END else 1 + xxhash.xxh32_intdigest(word[-3:]) % (CONTEXTS - 1)
+    return 0 if word == END else 1 + xxhash.xxh32_intdigest(word) % (CONTEXTS - 1)
 
 
 def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-#: Bits of a document's number in a block, and places of a lexicon, where both are packed in one number.
-DOC_BITS, PLACES = 14, 1 << 21
+#: Bits of a document's number in a block.
+DOC_BITS = 14
 
 
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -125,6 +131,15 @@ def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(ordered)))
 
 
+def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(start) else np.zeros(0, np.int64)
+
+
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts by the keys, and where groups start in it."""
     order = np.lexsort(keys[::-1])
@@ -136,23 +151,35 @@ def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(hash, context, n) of training tokens, summed within tasks."""
+COUNTS = "part int, hash binary, size binary, context binary, n binary"
+
+
+def counts(docs: DataFrame, parts: int) -> DataFrame:
+    """Counts of training tokens, summed within tasks: a row holds some words of a part, how many contexts each has, and
+    for all of these in turn the context and the count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         ready: list[pa.RecordBatch] = []
 
         def flush() -> None:
-            if held:
-                keys = np.sort(np.concatenate(held))
-                held.clear()
-                start, n = runs(keys)
-                keys = keys[start]
-                h, c = lexicon.hash[keys // CONTEXTS], keys % CONTEXTS
-                for at in range(0, len(h), 100_000):
-                    s = slice(at, at + 100_000)
-                    ready.append(pa.record_batch([pa.array(h[s]), pa.array(c[s].astype(np.int16)), pa.array(n[s].astype(np.int32))], ["hash", "context", "n"]))
+            if not held:
+                return
+            keys = np.sort(np.concatenate(held))
+            held.clear()
+            start, n = runs(keys)
+            place, context = keys[start] // CONTEXTS, (keys[start] % CONTEXTS).astype("<u2")
+            first, size = runs(place)
+            word = lexicon.hash[place[first]]
+            to = part_of(word, parts)
+            order = np.argsort(to, kind="stable")
+            pick = spread(first[order], size[order])
+            context, n, word, size = context[pick], n[pick].astype("<i4"), word[order], size[order].astype("<i4")
+            entry = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            edge, many = runs(to[order])
+            made = [(int(to[order[x]]), *_bytes(word[x:y], size[x:y], context[entry[x] : entry[y]], n[entry[x] : entry[y]])) for x, y in zip(edge, edge + many)]
+            part, *rest = zip(*made)
+            ready.append(pa.record_batch([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in rest)], names(COUNTS)))
 
         lexicon = Lexicon(flush)
         for b in batches:
@@ -167,7 +194,7 @@ def counts(docs: DataFrame) -> DataFrame:
         flush()
         yield from ready
 
-    return docs.select("text").mapInArrow(run, "hash long, context smallint, n int")
+    return docs.select("text").mapInArrow(run, COUNTS)
 
 
 # -- seating
@@ -224,6 +251,8 @@ class Totals:
     root_customers: float
     root_tables: float
     words: int
+    leaf: tuple[float, float]
+    root: tuple[float, float]
 
 
 @dataclass
@@ -248,13 +277,21 @@ class Shard:
         """Customers of each context, tables of each, parent's customers and tables, words."""
         return np.concatenate([self.customers, self.seated, [self.sent.sum(), self.root.sum(), len(self.hash)]])
 
+    def evidence(self) -> np.ndarray:
+        """What the seating says of the discounts (see draw), of context restaurants and of the parent."""
+        return np.concatenate([_evidence(self.n, self.tables), _evidence(self.sent, self.root)])
+
     def sweep(self, totals: Totals, rng: np.random.Generator, leaf: np.ndarray, top: np.ndarray) -> None:
         """Reseat every dish once; totals follow."""
+        (discount, strength), (root_discount, root_strength) = totals.leaf, totals.root
         base = 1.0 / (totals.words + 1)
         m, context, word = self.many, self.context[self.many], self.word[self.many]
-        above = (self.sent[word] - ROOT_DISCOUNT * self.root[word] + (ROOT_STRENGTH + ROOT_DISCOUNT * totals.root_tables) * base) / (ROOT_STRENGTH + totals.root_customers)
         old = self.tables[m]
-        new = seat(self.n[m], np.maximum(0, totals.tables[context] - old), above, DISCOUNT, STRENGTH, leaf, rng)
+        # the parent without the customers that this dish sends, nor the tables that they hold on average
+        others = self.sent[word] - old
+        root = self.root[word] * (others / self.sent[word])
+        above = (others - root_discount * root + (root_strength + root_discount * (totals.root_tables - self.root[word] + root)) * base) / (root_strength + totals.root_customers - old)
+        new = seat(self.n[m], np.maximum(0, totals.tables[context] - old), above, discount, strength, leaf, rng)
         self.tables[m] = new
         change = np.bincount(context, new - old, CONTEXTS)
         self.seated = self.seated + change
@@ -263,14 +300,48 @@ class Shard:
         totals.root_customers += float((new - old).sum())
         r = np.flatnonzero(self.sent > 1)
         root = np.minimum(self.sent, 1)
-        root[r] = seat(self.sent[r], np.maximum(0, totals.root_tables - self.root[r]), np.full(len(r), base), ROOT_DISCOUNT, ROOT_STRENGTH, top, rng)
+        root[r] = seat(self.sent[r], np.maximum(0, totals.root_tables - self.root[r]), np.full(len(r), base), root_discount, root_strength, top, rng)
         totals.root_tables += float(root.sum() - self.root.sum())
         self.root = root
 
 
-def _totals(sums: np.ndarray, scale: float = 1.0) -> Totals:
+def _totals(sums: np.ndarray, scale: float = 1.0, leaf: tuple[float, float] = LEAF, root: tuple[float, float] = ROOT) -> Totals:
     sums = sums * scale
-    return Totals(sums[:CONTEXTS], sums[CONTEXTS : 2 * CONTEXTS], float(sums[-3]), float(sums[-2]), int(sums[-1]))
+    return Totals(sums[:CONTEXTS], sums[CONTEXTS : 2 * CONTEXTS], float(sums[-3]), float(sums[-2]), int(sums[-1]), leaf, root)
+
+
+#: Numbers of an _evidence vector.
+EVIDENCE = (EXACT + 1) ** 2 + 3
+
+
+def _evidence(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """How many dishes have c customers at t tables; of those above EXACT customers their number, the tables beyond the
+    first, and the logarithms of customers."""
+    small = c <= EXACT
+    few = np.bincount(c[small] * (EXACT + 1) + t[small], minlength=(EXACT + 1) ** 2)
+    return np.concatenate([few, [(~small).sum(), (t[~small] - 1).sum(), np.log(c[~small]).sum()]])
+
+
+_log_gamma = np.frompyfunc(math.lgamma, 1, 1)
+
+
+def draw(evidence: np.ndarray, customers: np.ndarray, tables: np.ndarray, rng: np.random.Generator) -> tuple[float, float]:
+    """Discount and strength of a level from their posterior given the seating, on GRID (flat prior).
+
+    Dishes above EXACT customers count by the leading term of their Stirling numbers.
+    """
+    few, (many, more, logs) = evidence[:-3].reshape(EXACT + 1, EXACT + 1), evidence[-3:]
+    c, n_c = np.unique(customers[customers > 0], return_counts=True)
+    t, n_t = np.unique(tables[tables > 0], return_counts=True)
+    weight = np.empty((len(GRID[0]), len(GRID[1])))
+    for i, d in enumerate(GRID[0]):
+        dishes = (few * np.where(few > 0, stirling(EXACT, d), 0.0)).sum() - many * math.lgamma(1 - d) - more * math.log(d) - logs * d
+        for j, strength in enumerate(GRID[1]):
+            opened = (n_t * ((t - 1) * math.log(d) + _log_gamma(strength / d + t) - math.lgamma(strength / d + 1))).sum()
+            seated = (n_c * (_log_gamma(strength + c) - math.lgamma(strength + 1))).sum()
+            weight[i, j] = dishes + opened - seated
+    i, j = np.unravel_index((weight + rng.gumbel(size=weight.shape)).argmax(), weight.shape)
+    return float(GRID[0][i]), float(GRID[1][j])
 
 
 def _bytes(*arrays: np.ndarray) -> list[bytes]:
@@ -278,7 +349,7 @@ def _bytes(*arrays: np.ndarray) -> list[bytes]:
 
 
 SHARD = "part int, hash binary, word binary, context binary, n binary, tables binary, root binary"
-KINDS = ("<i8", "<i4", "<i2", "<i8", "<i4", "<i4")
+KINDS = ("<i8", "<i4", "<u2", "<i8", "<i4", "<i4")
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Shard]]:
@@ -297,77 +368,97 @@ def build(count_rows: DataFrame, parts: int) -> DataFrame:
     """Counts to shards, one a task, after a first seating round that only knows its own share of the totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
+        held: list[list[bytes]] = [[], [], [], []]
+        part = -1
+        for b in batches:
+            for k in range(b.num_rows):
+                part = b.column(0)[k].as_py()
+                for i, x in enumerate(held):
+                    x.append(b.column(i + 1)[k].as_py())
+        if part < 0:
             return
-        h, c, n = (np.concatenate([np.asarray(b.column(i)).astype(np.int64) for b in got]) for i in range(3))
-        part = int(part_of(h[:1], parts)[0])
+        h, size, c, n = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<i8", "<i4", "<u2", "<i4")))
+        held.clear()
+        h, c, n = np.repeat(h, size), c.astype(np.int64), n.astype(np.int64)
         order, start = grouped(h, c)
         h, c, n = h[order][start], c[order][start], np.add.reduceat(n[order], start)
         words, word = np.unique(h, return_inverse=True)
         shard = Shard(words, word, c, n, np.ones(len(n), np.int64), np.ones(len(words), np.int64))
-        leaf, top = stirling(EXACT, DISCOUNT), stirling(EXACT, ROOT_DISCOUNT)
+        leaf, top = stirling(EXACT, LEAF[0]), stirling(EXACT, ROOT[0])
         rng = np.random.default_rng(part)
         for _ in range(BURN_IN):  # words are dealt at random: their totals times the tasks estimate all
             shard.sweep(_totals(shard.sums(), parts), rng, leaf, top)
-        yield pa.record_batch([pa.array([x]) for x in _shard_row(part, shard)], [c.split()[0] for c in SHARD.split(", ")])
+        row = _shard_row(part, shard)
+        yield pa.record_batch([pa.array(row[:1], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names(SHARD))
 
-    to = F.pmod(F.shiftrightunsigned("hash", 17), F.lit(parts)).cast("int")
-    rows = count_rows.repartitionById(parts, to).mapInArrow(run, SHARD.replace("part int", "part long"))
-    return rows.withColumn("part", F.col("part").cast("int"))
+    return count_rows.repartitionById(parts, F.col("part")).mapInArrow(run, SHARD)
 
 
-#: Groups in which the shards' sums are added up before the driver gets one row of each.
-SUM_GROUPS = 16
+#: Tasks that add up the sums of all others; the driver gets one vector of each.
+SUM_TASKS = 4
 
 
 def _added(rows: DataFrame, width: int) -> np.ndarray:
-    """The sum of rows' vectors (part, v); the driver gets SUM_GROUPS vectors at most."""
+    """The sum of rows' vectors v, added as they stream by in each task, then in SUM_TASKS tasks."""
 
-    def add(group: pa.Table) -> pa.Table:
-        return pa.table({"v": pa.array([sum(np.frombuffer(v, "<f8") for v in group["v"].to_pylist()).tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for b in batches:
+            for v in b.column(0):
+                total += np.frombuffer(v.as_buffer(), "<f8")
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    groups = rows.groupBy(F.pmod("part", F.lit(SUM_GROUPS)).alias("g")).applyInArrow(add, "v binary").collect()
-    return sum((np.frombuffer(bytes(r.v), "<f8") for r in groups), np.zeros(width))
+    vectors = rows.select("v").mapInArrow(add, "v binary").repartition(SUM_TASKS).mapInArrow(add, "v binary").collect()
+    return sum((np.frombuffer(bytes(r.v), "<f8") for r in vectors), np.zeros(width))
 
 
 def _sum_rows(shards: DataFrame) -> np.ndarray:
-    """The shards' sums(), added up."""
+    """The shards' evidence() and sums(), added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, s in _shards(batches):
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array(_bytes(s.sums().astype("<f8")), pa.binary())], ["part", "v"])
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array(_bytes(np.concatenate([s.evidence(), s.sums()]).astype("<f8")), pa.binary())], ["part", "v"])
 
-    return _added(shards.mapInArrow(run, "part int, v binary"), 2 * CONTEXTS + 3)
+    return _added(shards.mapInArrow(run, "part int, v binary"), 2 * EVIDENCE + 2 * CONTEXTS + 3)
 
 
 MODEL = "part int, hash binary, count binary, above binary, first binary, context binary, bonus binary, sums binary"
 
 
-def sample(shards: DataFrame, totals: np.ndarray) -> DataFrame:
+Level = tuple[float, float]
+
+
+def draws(totals: np.ndarray) -> tuple[Level, Level]:
+    """Discount and strength of the context restaurants and of the parent after the first round."""
+    now, rng = _totals(totals[2 * EVIDENCE :]), np.random.default_rng(11)
+    leaf = draw(totals[:EVIDENCE], now.customers, now.tables, rng)
+    return leaf, draw(totals[EVIDENCE : 2 * EVIDENCE], np.array([now.root_customers]), np.array([now.root_tables]), rng)
+
+
+def sample(shards: DataFrame, totals: np.ndarray, hyper: tuple[Level, Level]) -> DataFrame:
     """The second round: rows of words (hash, count, the parent's numerators of each sample), of their entries (context,
     customers less discounted tables, averaged over samples), and the sums of each sample."""
-    start = totals.copy()
+    start, leaf_at, root_at = totals[2 * EVIDENCE :], *hyper
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, top = stirling(EXACT, DISCOUNT), stirling(EXACT, ROOT_DISCOUNT)
+        leaf, top = stirling(EXACT, leaf_at[0]), stirling(EXACT, root_at[0])
         for part, s in _shards(batches):
             rng = np.random.default_rng(1_000_003 + part)
-            now = _totals(start)
+            now = _totals(start, 1.0, leaf_at, root_at)
             for _ in range(MORE_BURN_IN):
                 s.sweep(now, rng, leaf, top)
             above, tables, sums = [], np.zeros(len(s.many)), []
             for _ in range(SAMPLES):
                 s.sweep(now, rng, leaf, top)
-                above.append(s.sent - ROOT_DISCOUNT * s.root)
+                above.append(s.sent - root_at[0] * s.root)
                 tables += s.tables[s.many] / SAMPLES
                 sums.append(s.sums())
-            bonus = s.n - DISCOUNT
-            bonus[s.many] = s.n[s.many] - DISCOUNT * tables
+            bonus = s.n - leaf_at[0]
+            bonus[s.many] = s.n[s.many] - leaf_at[0] * tables
             count = np.bincount(s.word, s.n, len(s.hash))
             first = np.searchsorted(s.word, np.arange(len(s.hash) + 1))
-            row = _bytes(s.hash, count.astype("<i8"), np.stack(above, 1).astype("<f4"), first.astype("<i4"), s.context.astype("<i2"), bonus.astype("<f4"), np.stack(sums))
-            yield pa.record_batch([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], [c.split()[0] for c in MODEL.split(", ")])
+            row = _bytes(s.hash, count.astype("<i8"), np.stack(above, 1).astype("<f4"), first.astype("<i4"), s.context.astype("<u2"), bonus.astype("<f4"), np.stack(sums))
+            yield pa.record_batch([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names(MODEL))
 
     return shards.mapInArrow(run, MODEL)
 
@@ -382,23 +473,26 @@ class Predictive:
     root_tables: np.ndarray
     words: int
     tokens: float
+    leaf: Level
+    root: Level
 
     @staticmethod
-    def of(sums: np.ndarray) -> Predictive:
-        return Predictive(sums[0, :CONTEXTS], sums[:, CONTEXTS : 2 * CONTEXTS], sums[:, -3], sums[:, -2], int(sums[0, -1]), float(sums[0, :CONTEXTS].sum()))
+    def of(sums: np.ndarray, hyper: tuple[Level, Level]) -> Predictive:
+        return Predictive(sums[0, :CONTEXTS], sums[:, CONTEXTS : 2 * CONTEXTS], sums[:, -3], sums[:, -2], int(sums[0, -1]), float(sums[0, :CONTEXTS].sum()), *hyper)
 
+    @cached_property
     def back_off(self) -> np.ndarray:
         """Per context and sample, the weight of the parent."""
-        return ((STRENGTH + DISCOUNT * self.tables) / (STRENGTH + self.customers)).T
+        return ((self.leaf[1] + self.leaf[0] * self.tables) / (self.leaf[1] + self.customers)).T
 
     def parent(self, numerators: np.ndarray) -> np.ndarray:
         """Probabilities in the parent from numerators (words, samples)."""
-        new = (ROOT_STRENGTH + ROOT_DISCOUNT * self.root_tables) / (self.words + 1)
-        return (numerators + new) / (ROOT_STRENGTH + self.root_customers)
+        new = (self.root[1] + self.root[0] * self.root_tables) / (self.words + 1)
+        return (numerators + new) / (self.root[1] + self.root_customers)
 
     def log10(self, bonus: np.ndarray, context: np.ndarray, numerators: np.ndarray) -> np.ndarray:
-        above = (self.back_off()[context] * self.parent(numerators)).mean(1)
-        return np.log10(bonus / (STRENGTH + self.customers[context]) + above)
+        above = (self.back_off[context] * self.parent(numerators)).mean(1)
+        return np.log10(bonus / (self.leaf[1] + self.customers[context]) + above)
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.tokens + self.words + 1))
@@ -438,24 +532,41 @@ class Rows:
 
 
 def _model_rows(raw: list[bytes]) -> Rows:
-    h, count, above, first, context, bonus = (np.frombuffer(x, k) for x, k in zip(raw, ("<i8", "<i8", "<f4", "<i4", "<i2", "<f4")))
+    h, count, above, first, context, bonus = (np.frombuffer(x, k) for x, k in zip(raw, ("<i8", "<i8", "<f4", "<i4", "<u2", "<f4")))
     return Rows.of(h, count, above.reshape(-1, SAMPLES), first.astype(np.int64), context.astype(np.int64), bonus)
 
 
+#: Steps of a histogram of words' counts: eight to each doubling.
+STEPS = 512
+
+
+def _step(count: np.ndarray) -> np.ndarray:
+    return np.minimum(STEPS - 1, (8 * np.log2(count)).astype(np.int64))
+
+
 def _head(model: DataFrame) -> Rows:
-    """The most frequent words' rows: each task offers its share of HEAD_ENTRIES, so the driver gets no more."""
-    parts = max(1, model.count())
+    """The most frequent words' rows: all whose counts reach the least step at which HEAD_ENTRIES and HEAD_WORDS hold them."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                count, first = (np.frombuffer(b.column(i)[k].as_py(), t) for i, t in enumerate(("<i8", "<i4")))
+                step = _step(count)
+                v = np.concatenate([np.bincount(step, np.diff(first), STEPS), np.bincount(step, minlength=STEPS)])
+                yield pa.record_batch([pa.array([v.astype("<f8").tobytes()], pa.binary())], ["v"])
+
+    entries, words = _added(model.select("count", "first").mapInArrow(measure, "v binary"), 2 * STEPS).reshape(2, STEPS)
+    above = (np.cumsum(entries[::-1])[::-1] <= HEAD_ENTRIES) & (np.cumsum(words[::-1])[::-1] <= HEAD_WORDS)
+    least = int(above.argmax()) if above.any() else STEPS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 raw = [b.column(i)[k].as_py() for i in range(1, 7)]
-                h, count, above, first, context, bonus = (np.frombuffer(x, t) for x, t in zip(raw, ("<i8", "<i8", "<f4", "<i4", "<i2", "<f4")))
-                order = np.argsort(-count, kind="stable")[: HEAD_WORDS // parts]
-                size = np.diff(first)[order]
-                order = np.sort(order[np.cumsum(size) <= HEAD_ENTRIES // parts])
+                h, count, above, first, context, bonus = (np.frombuffer(x, t) for x, t in zip(raw, ("<i8", "<i8", "<f4", "<i4", "<u2", "<f4")))
+                order = np.flatnonzero(_step(count) >= least)
                 size = np.diff(first)[order]
-                pick = np.repeat(first[:-1][order] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(order) else np.zeros(0, np.int64)
+                pick = spread(first[:-1][order], size)
                 row = _bytes(h[order], count[order], above.reshape(-1, SAMPLES)[order], np.concatenate([[0], np.cumsum(size)]).astype("<i4"), context[pick], bonus[pick])
                 yield pa.record_batch([pa.array([x], pa.binary()) for x in row], ["hash", "count", "above", "first", "context", "bonus"])
 
@@ -495,7 +606,6 @@ def _looked_up(docs: DataFrame, head: Rows, p: Predictive, parts: int) -> DataFr
 
         lexicon = Lexicon(describe=describe)
         block = TaskContext.get().partitionId() << 32
-        names = [c.split()[0] for c in FOUND.split(", ")]
         for b in batches:
             texts = _texts(b.column(1))
             ids = b.column(0).to_pylist()
@@ -505,7 +615,7 @@ def _looked_up(docs: DataFrame, head: Rows, p: Predictive, parts: int) -> DataFr
                 head = row >= 0
                 # head words by (row, context, document), each pair scored once
                 # a block of one long text has no document number to pack, but maybe more words
-                bits, places = (DOC_BITS, PLACES) if n > 1 else (0, PLACES << DOC_BITS)
+                bits = DOC_BITS if n > 1 else 0
                 order = np.sort(((row[head] * CONTEXTS + context[head]) << bits) | d[head])
                 own, key = order & ((1 << bits) - 1), order >> bits
                 start, length = runs(key)
@@ -514,16 +624,24 @@ def _looked_up(docs: DataFrame, head: Rows, p: Predictive, parts: int) -> DataFr
                 sums = [np.bincount(d, minlength=n), np.bincount(own, minlength=n), np.bincount(own, np.repeat(base, length), n), np.bincount(own, np.repeat(score, length), n)]
                 made: list[list] = [[block, -1, np.array([0 if i is None else i for i in ids[a:z]], "<i8").tobytes() + bytes(i is not None for i in ids[a:z]), *[b""] * 4, *_bytes(*(s.astype(k) for s, k in zip(sums, ("<i8", "<i8", "<f8", "<f8"))))]]
                 rest = ~head
-                order = np.sort((((-1 - row[rest]) * places + place[rest]) * CONTEXTS + context[rest] << bits) | d[rest])
+                # other words by part: their ranks in that order, then context and document
+                there = np.zeros(len(lexicon), bool)
+                there[place[rest]] = True
+                word = np.flatnonzero(there)
+                word = word[np.argsort(-1 - lexicon.extra[word], kind="stable")]
+                rank = np.zeros(len(lexicon), np.int64)
+                rank[word] = np.arange(len(word))
+                order = np.sort((rank[place[rest]] * CONTEXTS + context[rest] << bits) | d[rest])
                 start, many = runs(order)
                 order = order[start]
                 own, key = order & ((1 << bits) - 1), order >> bits
-                word, to = key // CONTEXTS % places, key // CONTEXTS // places
+                word = word[key // CONTEXTS]
+                to = -1 - lexicon.extra[word]
                 edge, size = runs(to)
                 for x, y in zip(edge, edge + size):
-                    made.append([block, int(to[x]), b"", *_bytes(own[x:y].astype("<u4"), lexicon.hash[word[x:y]], (key[x:y] % CONTEXTS).astype("<i2"), many[x:y].astype("<u4")), *[b""] * 4])
+                    made.append([block, int(to[x]), b"", *_bytes(own[x:y].astype("<u4"), lexicon.hash[word[x:y]], (key[x:y] % CONTEXTS).astype("<u2"), many[x:y].astype("<u4")), *[b""] * 4])
                 columns = list(zip(*made))
-                yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(x, pa.binary()) for x in columns[2:])], names)
+                yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(x, pa.binary()) for x in columns[2:])], names(FOUND))
                 block += 1
 
     return docs.select("doc_id", "text").mapInArrow(run, FOUND)
@@ -542,9 +660,11 @@ def scored(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD, F.lit(False))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(1 << 17, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (20 * ROWS_A_TASK) + 1))
-    shards = durable(build(counts(texts.where(~held)), parts))
-    model = durable(sample(shards, _sum_rows(shards)))
-    p = Predictive.of(_sample_sums(model))
+    shards = durable(build(counts(texts.where(~held), parts), parts))
+    totals = _sum_rows(shards)
+    hyper = draws(totals)
+    model = durable(sample(shards, totals, hyper))
+    p = Predictive.of(_sample_sums(model), hyper)
     found = durable(_looked_up(texts, _head(model), p, parts))
     shared = spark.sparkContext.broadcast(p)
 
@@ -556,7 +676,7 @@ def scored(docs: DataFrame) -> DataFrame:
         for b in asked.to_batches():
             for k in range(b.num_rows):
                 block, place, h, c, n = (b.column(i)[k].as_py() for i in range(5))
-                d, h, c, n = (np.frombuffer(x, t).astype(np.int64) for x, t in zip((place, h, c, n), ("<u4", "<i8", "<i2", "<u4")))
+                d, h, c, n = (np.frombuffer(x, t).astype(np.int64) for x, t in zip((place, h, c, n), ("<u4", "<i8", "<u2", "<u4")))
                 at, there = own.find(h)
                 score, base = own.score(at, there, c, shared.value)
                 docs_here, inverse = np.unique(d, return_inverse=True)
