@@ -45,11 +45,11 @@ CONTEXTS, SAMPLES = 1 << 16, 4
 LEAF, ROOT = (0.8, 5.0), (0.8, 10.0)
 GRID = np.arange(1, 20) / 20, np.geomspace(0.1, 1000, 17)
 BURN_IN, MORE_BURN_IN, EXACT = 3, 2, 60
-HEAD_ENTRIES, HEAD_WORDS = 1_500_000, 250_000
+HEAD_ENTRIES, HEAD_WORDS = 2_500_000, 250_000
 #: Words of a worker's cache, characters of text handled at once, and count rows a task aims at.
 CACHE, BLOCK_BYTES, ROWS_A_TASK = 700_000, 3_000_000, 1_000_000
 #: Tokens that a task holds before it counts them.
-HELD_TOKENS = 4_000_000
+HELD_TOKENS = 3_000_000
 FOLDS, HELD = 7, 2
 #: Ends a document; no UTF-8 text holds this byte.
 END = b"\xff"
@@ -100,8 +100,8 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-#: Bits of a document's number in a block.
-DOC_BITS = 14
+#: Bits of a document's number in a block, and places of a lexicon, where packed in one number with others.
+DOC_BITS, PLACES = 14, 1 << 28
 
 
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -165,32 +165,31 @@ def counts(docs: DataFrame, parts: int) -> DataFrame:
         def flush() -> None:
             if not held:
                 return
-            keys = np.sort(np.concatenate(held))
+            keys = np.concatenate(held)
             held.clear()
+            keys.sort()
             start, n = runs(keys)
-            place, context = keys[start] // CONTEXTS, (keys[start] % CONTEXTS).astype("<u2")
-            first, size = runs(place)
-            word = lexicon.hash[place[first]]
-            to = part_of(word, parts)
-            order = np.argsort(to, kind="stable")
-            pick = spread(first[order], size[order])
-            context, n, word, size = context[pick], n[pick].astype("<i4"), word[order], size[order].astype("<i4")
-            entry = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-            edge, many = runs(to[order])
-            made = [(int(to[order[x]]), *_bytes(word[x:y], size[x:y], context[entry[x] : entry[y]], n[entry[x] : entry[y]])) for x, y in zip(edge, edge + many)]
+            keys, n = keys[start], n.astype("<i4")
+            context = (keys % CONTEXTS).astype("<u2")
+            keys //= CONTEXTS
+            first, size = runs(keys)
+            word, size, entry = keys[first] % PLACES, size.astype("<i4"), np.append(first, len(keys))
+            edge, many = runs(keys[first] // PLACES)
+            hashes, to = lexicon.hash[word], lexicon.extra[word[edge]]
+            made = [(int(p), *_bytes(hashes[x:y], size[x:y], context[entry[x] : entry[y]], n[entry[x] : entry[y]])) for p, x, y in zip(to, edge, edge + many)]
             part, *rest = zip(*made)
             ready.append(pa.record_batch([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in rest)], names(COUNTS)))
 
-        lexicon = Lexicon(flush)
+        lexicon = Lexicon(flush, lambda hashes: part_of(hashes, parts))
         for b in batches:
             texts = _texts(b.column(0))
             for a, z in _blocks(texts):
                 place, context, _ = tokens(texts[a:z], lexicon)
-                held.append(place * CONTEXTS + context)
+                held.append((lexicon.extra[place] * PLACES + place) * CONTEXTS + context)
                 if sum(map(len, held)) > HELD_TOKENS:
                     flush()
-            yield from ready
-            ready.clear()
+                yield from ready
+                ready.clear()
         flush()
         yield from ready
 
@@ -437,7 +436,7 @@ def draws(totals: np.ndarray) -> tuple[Level, Level]:
 
 def sample(shards: DataFrame, totals: np.ndarray, hyper: tuple[Level, Level]) -> DataFrame:
     """The second round: rows of words (hash, count, the parent's numerators of each sample), of their entries (context,
-    customers less discounted tables, averaged over samples), and the sums of each sample."""
+    customers less discounted tables, averaged over samples), and the contexts' customers with the other sums of each sample."""
     start, leaf_at, root_at = totals[2 * EVIDENCE :], *hyper
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,17 +451,20 @@ def sample(shards: DataFrame, totals: np.ndarray, hyper: tuple[Level, Level]) ->
                 s.sweep(now, rng, leaf, top)
                 above.append(s.sent - root_at[0] * s.root)
                 tables += s.tables[s.many] / SAMPLES
-                sums.append(s.sums())
+                sums.append(s.sums()[CONTEXTS:])
             bonus = s.n - leaf_at[0]
             bonus[s.many] = s.n[s.many] - leaf_at[0] * tables
             count = np.bincount(s.word, s.n, len(s.hash))
             first = np.searchsorted(s.word, np.arange(len(s.hash) + 1))
-            row = _bytes(s.hash, count.astype("<i8"), np.stack(above, 1).astype("<f4"), first.astype("<i4"), s.context.astype("<u2"), bonus.astype("<f4"), np.stack(sums))
+            row = _bytes(s.hash, count.astype("<i8"), np.stack(above, 1).astype("<f4"), first.astype("<i4"), s.context.astype("<u2"), bonus.astype("<f4"), np.concatenate([s.customers, *sums]))
             yield pa.record_batch([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names(MODEL))
 
     return shards.mapInArrow(run, MODEL)
 
 
+REPLY = "block long, doc_ids binary, place binary, tokens binary, known binary, base binary, score binary"
+
+
 @dataclass
 class Predictive:
     """What turns a word's row into probabilities: the totals of each sample."""
@@ -478,7 +480,8 @@ class Predictive:
 
     @staticmethod
     def of(sums: np.ndarray, hyper: tuple[Level, Level]) -> Predictive:
-        return Predictive(sums[0, :CONTEXTS], sums[:, CONTEXTS : 2 * CONTEXTS], sums[:, -3], sums[:, -2], int(sums[0, -1]), float(sums[0, :CONTEXTS].sum()), *hyper)
+        customers, each = sums[:CONTEXTS], sums[CONTEXTS:].reshape(SAMPLES, -1)
+        return Predictive(customers, each[:, :CONTEXTS], each[:, -3], each[:, -2], int(each[0, -1]), float(customers.sum()), *hyper)
 
     @cached_property
     def back_off(self) -> np.ndarray:
@@ -586,14 +589,15 @@ def _head(model: DataFrame) -> Rows:
 
 def _sample_sums(model: DataFrame) -> np.ndarray:
     """The samples' sums over all shards."""
-    return _added(model.select("part", F.col("sums").alias("v")), SAMPLES * (2 * CONTEXTS + 3)).reshape(SAMPLES, -1)
+    return _added(model.select("part", F.col("sums").alias("v")), CONTEXTS + SAMPLES * (CONTEXTS + 3))
 
 
-FOUND = "block long, part int, doc_ids binary, place binary, hash binary, context binary, n binary, tokens binary, known binary, base binary, score binary"
+FOUND = "block long, part int, doc_ids binary, place binary, hash binary, size binary, context binary, n binary, tokens binary, known binary, base binary, score binary"
 
 
 def _looked_up(docs: DataFrame, head: Rows, p: Predictive, parts: int) -> DataFrame:
-    """Per block of documents: one row (part -1) of sums over head words, and a row for each part with other words."""
+    """Per block of documents: one row of sums over head words (with doc_ids), and a row for each part with other words: the
+    words, how many pairs of context and document each has, and these with their counts. The first kind goes to any part."""
     shared = docs.sparkSession.sparkContext.broadcast((head, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -622,7 +626,7 @@ def _looked_up(docs: DataFrame, head: Rows, p: Predictive, parts: int) -> DataFr
                 key = key[start]
                 score, base = rows.score(key // CONTEXTS, np.ones(len(key), bool), key % CONTEXTS, predictive)
                 sums = [np.bincount(d, minlength=n), np.bincount(own, minlength=n), np.bincount(own, np.repeat(base, length), n), np.bincount(own, np.repeat(score, length), n)]
-                made: list[list] = [[block, -1, np.array([0 if i is None else i for i in ids[a:z]], "<i8").tobytes() + bytes(i is not None for i in ids[a:z]), *[b""] * 4, *_bytes(*(s.astype(k) for s, k in zip(sums, ("<i8", "<i8", "<f8", "<f8"))))]]
+                made: list[list] = [[block, block % parts, np.array([0 if i is None else i for i in ids[a:z]], "<i8").tobytes() + bytes(i is not None for i in ids[a:z]), *[b""] * 5, *_bytes(*(s.astype(k) for s, k in zip(sums, ("<i8", "<i8", "<f8", "<f8"))))]]
                 rest = ~head
                 # other words by part: their ranks in that order, then context and document
                 there = np.zeros(len(lexicon), bool)
@@ -635,11 +639,14 @@ def _looked_up(docs: DataFrame, head: Rows, p: Predictive, parts: int) -> DataFr
                 start, many = runs(order)
                 order = order[start]
                 own, key = order & ((1 << bits) - 1), order >> bits
-                word = word[key // CONTEXTS]
-                to = -1 - lexicon.extra[word]
-                edge, size = runs(to)
-                for x, y in zip(edge, edge + size):
-                    made.append([block, int(to[x]), b"", *_bytes(own[x:y].astype("<u4"), lexicon.hash[word[x:y]], (key[x:y] % CONTEXTS).astype("<u2"), many[x:y].astype("<u4")), *[b""] * 4])
+                own, context, many = own.astype("<u2"), (key % CONTEXTS).astype("<u2"), many.astype("<u4")
+                first, size = runs(key // CONTEXTS)
+                word, entry, size = word[key[first] // CONTEXTS], np.append(first, len(key)), size.astype("<u4")
+                hashes, to = lexicon.hash[word], -1 - lexicon.extra[word]
+                edge, width = runs(to)
+                for x, y in zip(edge, edge + width):
+                    pairs = slice(entry[x], entry[y])
+                    made.append([block, int(to[x]), b"", *_bytes(own[pairs], hashes[x:y], size[x:y], context[pairs], many[pairs]), *[b""] * 4])
                 columns = list(zip(*made))
                 yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(x, pa.binary()) for x in columns[2:])], names(FOUND))
                 block += 1
@@ -665,7 +672,7 @@ def scored(docs: DataFrame) -> DataFrame:
     hyper = draws(totals)
     model = durable(sample(shards, totals, hyper))
     p = Predictive.of(_sample_sums(model), hyper)
-    found = durable(_looked_up(texts, _head(model), p, parts))
+    found = _looked_up(texts, _head(model), p, parts)
     shared = spark.sparkContext.broadcast(p)
 
     def tail(key: tuple, asked: pa.Table, rows: pa.Table) -> pa.Table:
@@ -675,26 +682,27 @@ def scored(docs: DataFrame) -> DataFrame:
         out: list[list] = []
         for b in asked.to_batches():
             for k in range(b.num_rows):
-                block, place, h, c, n = (b.column(i)[k].as_py() for i in range(5))
-                d, h, c, n = (np.frombuffer(x, t).astype(np.int64) for x, t in zip((place, h, c, n), ("<u4", "<i8", "<u2", "<u4")))
-                at, there = own.find(h)
+                block, doc_ids, place, h, size, c, n, *sums = (b.column(i)[k].as_py() for i in range(11))
+                if doc_ids:
+                    out.append([block, doc_ids, b"", *sums])
+                    continue
+                d, h, size, c, n = (np.frombuffer(x, t).astype(np.int64) for x, t in zip((place, h, size, c, n), ("<u2", "<i8", "<u4", "<u2", "<u4")))
+                at, there = (np.repeat(x, size) for x in own.find(h))
                 score, base = own.score(at, there, c, shared.value)
                 docs_here, inverse = np.unique(d, return_inverse=True)
                 sums = (np.bincount(inverse, n * there), np.bincount(inverse, n * base), np.bincount(inverse, n * score))
-                out.append([block, *_bytes(docs_here.astype("<u4"), sums[0].astype("<i8"), sums[1], sums[2])])
-        columns = list(zip(*out)) or [()] * 5
-        return pa.table([pa.array(columns[0], pa.int64()), *(pa.array(x, pa.binary()) for x in columns[1:])], ["block", "place", "known", "base", "score"])
+                out.append([block, b"", *_bytes(docs_here.astype("<u4")), b"", *_bytes(sums[0].astype("<i8"), sums[1], sums[2])])
+        columns = list(zip(*out)) or [()] * 7
+        return pa.table([pa.array(columns[0], pa.int64()), *(pa.array(x, pa.binary()) for x in columns[1:])], names(REPLY))
 
-    asked = found.where("part >= 0").select("block", "place", "hash", "context", "n", "part")
-    replies = asked.groupBy("part").cogroup(model.drop("sums").groupBy("part")).applyInArrow(tail, "block long, place binary, known binary, base binary, score binary")
-    heads = found.where("part < 0").select("block", "doc_ids", F.lit(None).cast("binary").alias("place"), "tokens", "known", "base", "score")
-    everything = heads.unionByName(replies, allowMissingColumns=True)
+    asked = found.select("block", "doc_ids", "place", "hash", "size", "context", "n", "tokens", "known", "base", "score", "part")
+    everything = asked.groupBy("part").cogroup(model.drop("sums").groupBy("part")).applyInArrow(tail, REPLY)
 
     def finish(key: tuple, rows: pa.Table) -> pa.Table:
         parts_of = {}
         later: list[tuple[bytes, ...]] = []
         for r in rows.to_pylist():
-            if r["place"] is None:
+            if r["doc_ids"]:
                 parts_of = r
             else:
                 later.append((r["place"], r["known"], r["base"], r["score"]))
