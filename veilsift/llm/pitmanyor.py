@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ship
+from .common import durable, give_back, ship
 
 CONTEXTS, SAMPLES = 1 << 16, 4
 #: Discount and strength of the context restaurants and of the parent in the first round; then they are drawn from GRID.
@@ -48,8 +48,8 @@ BURN_IN, MORE_BURN_IN, EXACT = 3, 2, 60
 HEAD_ENTRIES, HEAD_WORDS = 2_500_000, 250_000
 #: Words of a worker's cache, characters of text handled at once, and count rows a task aims at.
 CACHE, BLOCK_BYTES, ROWS_A_TASK = 700_000, 3_000_000, 1_000_000
-#: Tokens that a task holds before it counts them.
-HELD_TOKENS = 3_000_000
+#: Tokens that a task holds before it counts them, and weights that it draws from at once.
+HELD_TOKENS, SEATED = 2_000_000, 400_000
 FOLDS, HELD = 7, 2
 #: Ends a document; no UTF-8 text holds this byte.
 END = b"\xff"
@@ -136,6 +136,19 @@ def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(start) else np.zeros(0, np.int64)
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def freeing(run: Batches) -> Batches:
+    """run, whose memory the worker gives back when the task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
@@ -193,7 +206,7 @@ def counts(docs: DataFrame, parts: int) -> DataFrame:
         flush()
         yield from ready
 
-    return docs.select("text").mapInArrow(run, COUNTS)
+    return docs.select("text").mapInArrow(freeing(run), COUNTS)
 
 
 # -- seating
@@ -217,8 +230,8 @@ def seat(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, s
         if size < 2:
             continue
         rows = np.flatnonzero(c == size)
-        for at in range(0, len(rows), 200_000):
-            r = rows[at : at + 200_000]
+        for at in range(0, len(rows), step := SEATED // size):
+            r = rows[at : at + step]
             # log weight of t tables: the strength's rising factorial, the base's power, the Stirling number
             steps = np.log((strength + discount * (others[r, None] + np.arange(size))) * base[r, None])
             weight = np.cumsum(steps, 1) + table[size, 1 : size + 1]
@@ -390,7 +403,7 @@ def build(count_rows: DataFrame, parts: int) -> DataFrame:
         row = _shard_row(part, shard)
         yield pa.record_batch([pa.array(row[:1], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names(SHARD))
 
-    return count_rows.repartitionById(parts, F.col("part")).mapInArrow(run, SHARD)
+    return count_rows.repartitionById(parts, F.col("part")).mapInArrow(freeing(run), SHARD)
 
 
 #: Tasks that add up the sums of all others; the driver gets one vector of each.
@@ -418,7 +431,7 @@ def _sum_rows(shards: DataFrame) -> np.ndarray:
         for part, s in _shards(batches):
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array(_bytes(np.concatenate([s.evidence(), s.sums()]).astype("<f8")), pa.binary())], ["part", "v"])
 
-    return _added(shards.mapInArrow(run, "part int, v binary"), 2 * EVIDENCE + 2 * CONTEXTS + 3)
+    return _added(shards.mapInArrow(freeing(run), "part int, v binary"), 2 * EVIDENCE + 2 * CONTEXTS + 3)
 
 
 MODEL = "part int, hash binary, count binary, above binary, first binary, context binary, bonus binary, sums binary"
@@ -459,7 +472,7 @@ def sample(shards: DataFrame, totals: np.ndarray, hyper: tuple[Level, Level]) ->
             row = _bytes(s.hash, count.astype("<i8"), np.stack(above, 1).astype("<f4"), first.astype("<i4"), s.context.astype("<u2"), bonus.astype("<f4"), np.concatenate([s.customers, *sums]))
             yield pa.record_batch([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names(MODEL))
 
-    return shards.mapInArrow(run, MODEL)
+    return shards.mapInArrow(freeing(run), MODEL)
 
 
 REPLY = "block long, doc_ids binary, place binary, tokens binary, known binary, base binary, score binary"
@@ -573,7 +586,7 @@ def _head(model: DataFrame) -> Rows:
                 row = _bytes(h[order], count[order], above.reshape(-1, SAMPLES)[order], np.concatenate([[0], np.cumsum(size)]).astype("<i4"), context[pick], bonus[pick])
                 yield pa.record_batch([pa.array([x], pa.binary()) for x in row], ["hash", "count", "above", "first", "context", "bonus"])
 
-    got = model.mapInArrow(run, "hash binary, count binary, above binary, first binary, context binary, bonus binary").toArrow()
+    got = model.mapInArrow(freeing(run), "hash binary, count binary, above binary, first binary, context binary, bonus binary").toArrow()
     shards = [_model_rows([got.column(i)[k].as_py() for i in range(6)]) for k in range(got.num_rows)]
     if not shards:
         return _model_rows([b"", b"", b"", np.zeros(1, "<i4").tobytes(), b"", b""])
@@ -651,7 +664,7 @@ def _looked_up(docs: DataFrame, head: Rows, p: Predictive, parts: int) -> DataFr
                 yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(x, pa.binary()) for x in columns[2:])], names(FOUND))
                 block += 1
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), FOUND)
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
