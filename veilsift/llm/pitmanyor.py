@@ -45,9 +45,9 @@ CONTEXTS, SAMPLES = 1 << 16, 4
 LEAF, ROOT = (0.8, 5.0), (0.8, 10.0)
 GRID = np.arange(1, 20) / 20, np.geomspace(0.1, 1000, 17)
 BURN_IN, MORE_BURN_IN, EXACT = 3, 2, 60
-HEAD_ENTRIES, HEAD_WORDS = 2_500_000, 250_000
+HEAD_ENTRIES, HEAD_WORDS = 1_500_000, 250_000
 #: Words of a worker's cache, characters of text handled at once, and count rows a task aims at.
-CACHE, BLOCK_BYTES, ROWS_A_TASK = 700_000, 3_000_000, 1_000_000
+CACHE, BLOCK_BYTES, ROWS_A_TASK = 400_000, 2_000_000, 1_000_000
 #: Tokens that a task holds before it counts them, and weights that it draws from at once.
 HELD_TOKENS, SEATED = 2_000_000, 400_000
 FOLDS, HELD = 7, 2
@@ -498,17 +498,17 @@ class Predictive:
 
     @cached_property
     def back_off(self) -> np.ndarray:
-        """Per context and sample, the weight of the parent."""
-        return ((self.leaf[1] + self.leaf[0] * self.tables) / (self.leaf[1] + self.customers)).T
-
-    def parent(self, numerators: np.ndarray) -> np.ndarray:
-        """Probabilities in the parent from numerators (words, samples)."""
-        new = (self.root[1] + self.root[0] * self.root_tables) / (self.words + 1)
-        return (numerators + new) / (self.root[1] + self.root_customers)
-
-    def log10(self, bonus: np.ndarray, context: np.ndarray, numerators: np.ndarray) -> np.ndarray:
-        above = (self.back_off[context] * self.parent(numerators)).mean(1)
-        return np.log10(bonus / (self.leaf[1] + self.customers[context]) + above)
+        """Per sample and context, the weight of the parent."""
+        return (self.leaf[1] + self.leaf[0] * self.tables) / (self.leaf[1] + self.customers)
+
+    def log10(self, bonus: np.ndarray, context: np.ndarray, numerator: Callable[[int], np.ndarray | float]) -> np.ndarray:
+        """Averages the samples one by one; numerator(k) is the words' numerator in the parent of sample k."""
+        above = np.zeros(len(context))
+        for k in range(SAMPLES):
+            new = (self.root[1] + self.root[0] * self.root_tables[k]) / (self.words + 1)
+            above += self.back_off[k][context] * (numerator(k) + new) / ((self.root[1] + self.root_customers[k]) * SAMPLES)
+        above += bonus / (self.leaf[1] + self.customers[context])
+        return np.log10(above)
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.tokens + self.words + 1))
@@ -539,12 +539,12 @@ class Rows:
     def score(self, at: np.ndarray, there: np.ndarray, context: np.ndarray, p: Predictive) -> tuple[np.ndarray, np.ndarray]:
         """log10 probabilities by the model and by the base."""
         if not len(self.hash):
-            return p.log10(np.zeros(len(at)), context, np.zeros((len(at), SAMPLES))), p.base(np.zeros(len(at)))
+            return p.log10(np.zeros(len(at)), context, lambda k: 0.0), p.base(np.zeros(len(at)))
         key = at * CONTEXTS + context
         e = np.minimum(np.searchsorted(self.entry, key), len(self.entry) - 1)
         bonus = np.where(there & (self.entry[e] == key), self.bonus[e], 0.0)
-        numerators = np.where(there[:, None], self.above[at], 0.0)
-        return p.log10(bonus, context, numerators), p.base(np.where(there, self.count[at], 0))
+        del key, e
+        return p.log10(bonus, context, lambda k: np.where(there, self.above[at, k], 0.0)), p.base(np.where(there, self.count[at], 0))
 
 
 def _model_rows(raw: list[bytes]) -> Rows:
