@@ -27,7 +27,7 @@ and every token is unknown with probability 1. An empty table gives an empty res
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -364,7 +364,7 @@ SHARD = "part int, hash binary, word binary, context binary, n binary, tables bi
 KINDS = ("<i8", "<i4", "<u2", "<i8", "<i4", "<i4")
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Shard]]:
+def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Shard]]:
     for b in batches:
         for k in range(b.num_rows):
             part, *raw = (b.column(i)[k].as_py() for i in range(7))
@@ -410,28 +410,34 @@ def build(count_rows: DataFrame, parts: int) -> DataFrame:
 SUM_TASKS = 4
 
 
-def _added(rows: DataFrame, width: int) -> np.ndarray:
-    """The sum of rows' vectors v, added as they stream by in each task, then in SUM_TASKS tasks."""
+def _vectors(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for v in b.column(0):
+        yield np.frombuffer(v.as_buffer(), "<f8")
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
-        for b in batches:
-            for v in b.column(0):
-                total += np.frombuffer(v.as_buffer(), "<f8")
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    vectors = rows.select("v").mapInArrow(add, "v binary").repartition(SUM_TASKS).mapInArrow(add, "v binary").collect()
-    return sum((np.frombuffer(bytes(r.v), "<f8") for r in vectors), np.zeros(width))
+def _added(rows: DataFrame, width: int, vectors: Callable[[pa.RecordBatch], Iterator[np.ndarray]] = _vectors) -> np.ndarray:
+    """The sum of the rows' vectors, added as they stream by in each task, then in SUM_TASKS tasks.
 
+    One Python worker a task: chained ones would each keep their memory.
+    """
 
-def _sum_rows(shards: DataFrame) -> np.ndarray:
-    """The shards' evidence() and sums(), added up."""
+    def add(of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Batches:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width)
+            for b in batches:
+                for v in of(b):
+                    total += v
+            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, s in _shards(batches):
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array(_bytes(np.concatenate([s.evidence(), s.sums()]).astype("<f8")), pa.binary())], ["part", "v"])
+        return freeing(run)
 
-    return _added(shards.mapInArrow(freeing(run), "part int, v binary"), 2 * EVIDENCE + 2 * CONTEXTS + 3)
+    sums = rows.mapInArrow(add(vectors), "v binary").repartition(SUM_TASKS).mapInArrow(add(_vectors), "v binary").collect()
+    return sum((np.frombuffer(bytes(r.v), "<f8") for r in sums), np.zeros(width))
+
+
+def _sum_rows(shards: DataFrame) -> np.ndarray:
+    """The shards' evidence() and sums(), added up."""
+    return _added(shards, 2 * EVIDENCE + 2 * CONTEXTS + 3, lambda b: (np.concatenate([s.evidence(), s.sums()]) for _, s in _shards([b])))
 
 
 MODEL = "part int, hash binary, count binary, above binary, first binary, context binary, bonus binary, sums binary"
@@ -563,15 +569,13 @@ def _step(count: np.ndarray) -> np.ndarray:
 def _head(model: DataFrame) -> Rows:
     """The most frequent words' rows: all whose counts reach the least step at which HEAD_ENTRIES and HEAD_WORDS hold them."""
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                count, first = (np.frombuffer(b.column(i)[k].as_py(), t) for i, t in enumerate(("<i8", "<i4")))
-                step = _step(count)
-                v = np.concatenate([np.bincount(step, np.diff(first), STEPS), np.bincount(step, minlength=STEPS)])
-                yield pa.record_batch([pa.array([v.astype("<f8").tobytes()], pa.binary())], ["v"])
+    def measure(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for k in range(b.num_rows):
+            count, first = (np.frombuffer(b.column(i)[k].as_py(), t) for i, t in enumerate(("<i8", "<i4")))
+            step = _step(count)
+            yield np.concatenate([np.bincount(step, np.diff(first), STEPS), np.bincount(step, minlength=STEPS)])
 
-    entries, words = _added(model.select("count", "first").mapInArrow(measure, "v binary"), 2 * STEPS).reshape(2, STEPS)
+    entries, words = _added(model.select("count", "first"), 2 * STEPS, measure).reshape(2, STEPS)
     above = (np.cumsum(entries[::-1])[::-1] <= HEAD_ENTRIES) & (np.cumsum(words[::-1])[::-1] <= HEAD_WORDS)
     least = int(above.argmax()) if above.any() else STEPS
 
@@ -602,7 +606,7 @@ def _head(model: DataFrame) -> Rows:
 
 def _sample_sums(model: DataFrame) -> np.ndarray:
     """The samples' sums over all shards."""
-    return _added(model.select("part", F.col("sums").alias("v")), CONTEXTS + SAMPLES * (CONTEXTS + 3))
+    return _added(model.select("sums"), CONTEXTS + SAMPLES * (CONTEXTS + 3))
 
 
 FOUND = "block long, part int, doc_ids binary, place binary, hash binary, size binary, context binary, n binary, tokens binary, known binary, base binary, score binary"
