@@ -47,7 +47,7 @@ GRID = np.arange(1, 20) / 20, np.geomspace(0.1, 1000, 17)
 BURN_IN, MORE_BURN_IN, EXACT = 3, 2, 60
 HEAD_ENTRIES, HEAD_WORDS = 1_500_000, 250_000
 #: Words of a worker's cache, characters of text handled at once, and count rows a task aims at.
-CACHE, BLOCK_BYTES, ROWS_A_TASK = 400_000, 2_000_000, 1_000_000
+CACHE, BLOCK_BYTES, ROWS_A_TASK = 400_000, 2_000_000, 500_000
 #: Tokens that a task holds before it counts them, and weights that it draws from at once.
 HELD_TOKENS, SEATED = 2_000_000, 400_000
 FOLDS, HELD = 7, 2
