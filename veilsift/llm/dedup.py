@@ -1,4 +1,4 @@
-"""One document of each group of near copies stays: SimHash candidates, verified on five-word shingles.
+"""One document of each group of near copies stays: SimHash candidates, verified on five-word shingles, then all other pairs.
 
 Texts with the same words are merged first. Of the rest, wide fingerprints of words are compared (each word weighted by
 the root of its count times its length up to 8, so that frequent short words don't dominate): five-word shingles would
@@ -9,6 +9,9 @@ rows and about constantly many chance candidates whatever the table's size; cand
 apart make a candidate group. Every group is then verified: two texts are near copies if the Jaccard similarity of their
 sets of five-word shingles is at least SIMILARITY.
 
+Fingerprints miss some near copies: those of long partitions, and texts whose repeated words outweigh what they share. So
+`setjoin.near_links` then finds, exactly, every near pair of texts that the links so far leave apart.
+
 Candidate groups are settled exactly. A group of one block (BLOCK texts, BLOCK_BYTES of shingles) is compared in full in
 one task. In a larger one about LEADERS texts drawn by hash go to all of its blocks, which links most of a dense group;
 then every pair that these links leave apart is compared: a task holds two blocks, and pairs inside the group's largest
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, give_back, integer_ids, lookup, ship
 from .components import components
+from .setjoin import near_links
 from .simhash import shingles, wide_links, word_fingerprints
 
 WORDS, SIMILARITY, LEADERS = 5, 0.8, 64
@@ -231,7 +235,10 @@ def removed(marked: DataFrame, bits: int) -> DataFrame:
     firsts = durable(marked.groupBy("same").agg(F.min_by(F.struct("rid", "doc_id", "fp"), order).alias("first")).select("same", "first.*"))
     roots = durable(components(wide_links(firsts.select("rid", "fp"), PARTS, bits, RADIUS, DISTANT)))
     texts = marked.select("rid", F.col("row.text").cast("string").alias("text")).join(lookup(roots), F.col("rid") == F.col("node"))
-    linked = durable(components(verified(texts.select("rid", F.col("root").alias("group"), "text"))))
+    met = durable(components(verified(texts.select("rid", F.col("root").alias("group"), "text"))))
+    labels = durable(firsts.select("rid").join(lookup(met), F.col("rid") == F.col("node"), "left").select("rid", F.coalesce("root", "rid").alias("label")))
+    rest = near_links(marked.select("rid", F.col("row.text").cast("string").alias("text")), labels, shingle_hashes, near, SIMILARITY)
+    linked = durable(components(met.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)))
     grouped = firsts.select("rid", "doc_id").join(lookup(linked), F.col("rid") == F.col("node"))
     stays = durable(grouped.groupBy("root").agg(F.min_by("rid", order).alias("stay")))
     near_copies = grouped.join(lookup(stays), "root").where(F.col("rid") != F.col("stay")).select(F.col("rid").alias("gone"))
