@@ -52,3 +52,47 @@ def test_every_pair_apart_is_found(spark, monkeypatch, hot, repeated, labels):
     assert len(found) == len(want) and {(r.a, r.b) for r in found} == want
     assert labels > 1 or len(want) > 50
     assert setjoin.near_links(texts.where("false"), named, dedup.shingle_hashes, dedup.near, 0.8).count() == 0
+
+
+def test_unrelated_long_sets_are_ruled_out_before_the_whole_sets_travel(spark):
+    """Maps of 1,024 bits tell nothing of 5,000 elements; texts that share some of what they must show were all compared in full."""
+    shared = " ".join(f"passage{i}" for i in range(300))
+    rows = [(g, " ".join(f"w{g}x{i}" for i in range(4700)) + " " + shared) for g in range(6)]
+    rows.append((6, rows[0][1].replace("w0x9 ", "other ")))
+
+    def strict(a, b):
+        both = len(np.intersect1d(a, b))
+        assert both > 0.5 * (len(a) + len(b) - both)
+        return dedup.near(a, b)
+
+    def hashed(text):
+        """Sets in which the shared elements come first."""
+        first = set(dedup.shingle_hashes(shared.encode()).tolist())
+        return np.sort(np.array([x >> 32 if x in first else x | 1 << 63 for x in dedup.shingle_hashes(text).tolist()], np.uint64))
+
+    texts = durable(spark.createDataFrame(rows, "rid long, text string").repartition(2))
+    labels = durable(texts.selectExpr("rid", "rid AS label"))
+    assert [(r.a, r.b) for r in setjoin.near_links(texts, labels, hashed, strict, 0.8).collect()] == [(0, 6)]
+
+
+def test_maps_of_any_sizes_lose_no_pair():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 1000, 1024, 1030, 2050, 5000, 9000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for drop, add in ((0.0, 0.0), (0.1, 0.1), (0.19, 0.0), (0.0, 0.24)):
+            b = np.unique(np.concatenate([a[int(drop * n) :], rng.integers(0, 1 << 63, int(add * n), np.uint64)]))
+            x, y = (len(s).to_bytes(8, "big") + setjoin.parity(s) for s in (a, b))
+            assert dedup.near(a, b) <= setjoin.possible(x, y, 0.8)
+        other = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        assert not setjoin.possible(x, len(other).to_bytes(8, "big") + setjoin.parity(other), 0.8)
+
+
+def test_counts_of_frequent_elements_are_bounded():
+    rng = np.random.default_rng(6)
+    keys = np.minimum(rng.zipf(1.5, 30_000), 5_000)
+    key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for some in np.array_split(keys, 7):
+        key, count = setjoin.frequent(np.concatenate([key, some]), np.concatenate([count, np.ones(len(some), np.int64)]), 50)
+        assert len(key) <= 50
+    got, true = dict(zip(key.tolist(), count.tolist())), np.bincount(keys)
+    assert all(true[k] - len(keys) / 51 <= got.get(k, 0) <= true[k] for k in range(1, 5_001))

@@ -70,6 +70,12 @@ def remove_scratch(df: DataFrame) -> None:
             _delete(df.sparkSession, folder)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that have ended: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package: by path in local mode, by an archive that Spark sends elsewhere."""
     context = spark.sparkContext

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, give_back, integer_ids, lookup, ship
+from .common import drop_shuffles, durable, give_back, integer_ids, lookup, remove_scratch, ship
 from .components import components
 from .setjoin import near_links
 from .simhash import shingles, wide_links, word_fingerprints
@@ -224,9 +224,10 @@ def verified(texts: DataFrame) -> DataFrame:
     dealt = joined.withColumn("leads", drawn).select("group", "rid", "grams", "leads", "blocks", F.explode(home).alias("block"))
     found = durable(dealt.groupBy("group", "block").applyInArrow(_settle, "a long, b long"))
     large = facts.where("blocks > 1").select("of")
-    if large.isEmpty():
-        return found
-    return found.unionByName(durable(_remaining(whole.join(lookup(large), F.col("group") == F.col("of")).drop("of"), found)))
+    if not large.isEmpty():
+        found = found.unionByName(durable(_remaining(whole.join(lookup(large), F.col("group") == F.col("of")).drop("of"), found)))
+    remove_scratch(whole)
+    return found
 
 
 def removed(marked: DataFrame, bits: int) -> DataFrame:
@@ -236,6 +237,7 @@ def removed(marked: DataFrame, bits: int) -> DataFrame:
     roots = durable(components(wide_links(firsts.select("rid", "fp"), PARTS, bits, RADIUS, DISTANT)))
     texts = marked.select("rid", F.col("row.text").cast("string").alias("text")).join(lookup(roots), F.col("rid") == F.col("node"))
     met = durable(components(verified(texts.select("rid", F.col("root").alias("group"), "text"))))
+    drop_shuffles(marked.sparkSession)
     labels = durable(firsts.select("rid").join(lookup(met), F.col("rid") == F.col("node"), "left").select("rid", F.coalesce("root", "rid").alias("label")))
     rest = near_links(marked.select("rid", F.col("row.text").cast("string").alias("text")), labels, shingle_hashes, near, SIMILARITY)
     linked = durable(components(met.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)))

@@ -3,12 +3,14 @@
 Of two sets of n and m elements in one common order that reach a similarity t, the first n - ceil(t n) + 1 elements of one
 and the first m - ceil(t m) + 1 of the other share an element. So texts that share no such element need no comparison, and
 the rest are candidates unless their sizes, the places of the shared element, or their parity maps (a bit for an odd number
-of elements in a bin; elements in one set only flip at most one bit each) rule the similarity out. No filter loses a pair.
-Candidates are verified on the whole sets.
+of elements in a bin; elements in one set only flip at most one bit each) rule the similarity out. A map has a bit an element
+or more, else it would tell nothing of a large set; of two maps the longer is folded. No filter loses a pair. Candidates are
+verified on the whole sets.
 
 The order puts elements that a sample of SAMPLE texts holds repeatedly last, by count; it steers cost only. Texts carry a
 label, and pairs of one label are linked already: they are not formed. An element shared by more than HOT texts is dealt
-to tasks in pairs of blocks. A text makes about (1 - t) n rows at any table size; texts that share rare elements and stay
+to tasks in pairs of blocks; such elements are found by counts within tasks (Misra and Gries 1982), which shuffle few of
+them. What a step wrote or shuffled is deleted once nothing reads it. A text makes about (1 - t) n rows at any table size; texts that share rare elements and stay
 apart cost a candidate a pair.
 
 Empty sets have no element and no pair. An empty table gives no links. rid and label are not null.
@@ -24,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, give_back, lookup, ship
+from .common import drop_shuffles, durable, give_back, lookup, remove_scratch, ship
 
 #: Texts that are counted for the order, elements kept of it, and the count from which an element is kept.
 SAMPLE, COMMON, REPEATED = 20_000, 200_000, 3
 #: Rows of an element above which it is dealt in blocks, rows of a task, and pairs formed at once.
 HOT, ROWS_A_TASK, CHUNK = 20_000, 500_000, 1_000_000
-#: Bits of a parity map.
+#: Least bits of a parity map, a power of two.
 MAP = 1024
+#: Elements that a task counts at least.
+COUNTED = 4096
 
 
 def prefix(elements: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
@@ -47,10 +51,31 @@ def prefix(elements: np.ndarray, common: np.ndarray, counts: np.ndarray, least:
 
 
 def parity(elements: np.ndarray) -> bytes:
-    odd = np.bincount((elements % np.uint64(MAP)).astype(np.int64), minlength=MAP) & 1
+    bits = max(MAP, 1 << max(0, len(elements) - 1).bit_length())
+    odd = np.bincount((elements % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def possible(x: bytes, y: bytes, least: float) -> bool:
+    """Whether sizes (8 bytes) and parity maps leave the similarity possible."""
+    n, m = int.from_bytes(x[:8], "big"), int.from_bytes(y[:8], "big")
+    if min(n, m) < least * max(n, m) - 1e-6:
+        return False
+    maps = [np.frombuffer(f, np.uint8, offset=8) for f in (x, y)]
+    width = min(map(len, maps))
+    a, b = (np.bitwise_xor.reduce(p.reshape(-1, width)) for p in maps)
+    return int(np.bitwise_count(a ^ b).sum()) <= (1 - least) / (1 + least) * (n + m) + 1e-6
+
+
+def frequent(key: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most `most` of the keys, and counts of them: none is too high, or too low by more than all counts / (most + 1)."""
+    key, at = np.unique(key, return_inverse=True)
+    count = np.bincount(at, count, len(key)).astype(np.int64)
+    if len(key) > most:
+        count -= np.partition(count, len(key) - most - 1)[len(key) - most - 1]
+    return key[count > 0], count[count > 0]
+
+
 def bucket_pairs(key: np.ndarray, label: np.ndarray, size: np.ndarray, place: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of rows of one key and two labels that may reach the similarity. Rows are in order of key, label."""
     if not len(key):
@@ -128,6 +153,30 @@ def _spread(shown: DataFrame) -> DataFrame:
     return shown.select("rid", "label", "size", "shown").mapInArrow(run, "key long, rid long, label long, size int, place int")
 
 
+def _hot(shown: DataFrame, made: int) -> DataFrame:
+    """(hot, count): all elements shown more than HOT times, and none shown HOT / 2 times or fewer; made: elements shown.
+    A count is at least the true one and at most HOT / 2 above it."""
+    most = max(COUNTED, 2 * made // HOT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        waiting: list[np.ndarray] = []
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                waiting += [np.frombuffer(x, np.int64) for x in whole.column(0).slice(at, 2000).to_pylist()]
+                if sum(map(len, waiting)) >= CHUNK:
+                    new = np.concatenate(waiting)
+                    key, count = frequent(np.concatenate([key, new]), np.concatenate([count, np.ones(len(new), np.int64)]), most)
+                    waiting = []
+        new = np.concatenate([key, *waiting])
+        key, count = frequent(new, np.concatenate([count, np.ones(len(new) - len(count), np.int64)]), most)
+        yield pa.record_batch([pa.array(key), pa.array(count)], ["hot", "count"])
+        give_back()
+
+    counted = shown.select("shown").mapInArrow(run, "hot long, count long").groupBy("hot").agg(F.sum("count").alias("count"))
+    return counted.where(F.col("count") > HOT / 2).withColumn("count", F.col("count") + HOT // 2)
+
+
 def candidates(shown: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b), a < b, of texts (rid, label, size, shown) of two labels that share an element shown and whose sizes and
     the element's places leave the similarity possible."""
@@ -150,8 +199,7 @@ def candidates(shown: DataFrame, least: float) -> DataFrame:
     spark = shown.sparkSession
     keyed = _spread(shown)
     made = (shown.agg(F.sum(F.octet_length("shown").cast("long"))).first()[0] or 0) // 8
-    counted = keyed.select("key").groupBy("key").count().where(F.col("count") > HOT)
-    hot = durable(counted.select(F.col("key").alias("hot"), "count", F.ceil(F.col("count") / HOT).cast("int").alias("blocks")))
+    hot = durable(_hot(shown, made).withColumn("blocks", F.ceil(F.col("count") / HOT).cast("int")).where("blocks > 1"))
     made += hot.agg(F.sum(F.col("count") * (F.col("blocks") - 1))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-made // ROWS_A_TASK))
     if hot.isEmpty():
@@ -186,15 +234,14 @@ def near_links(texts: DataFrame, labels: DataFrame, hashed: Callable[[bytes], np
 
     hashed gives a text's set, ascending; near decides on two sets. Texts without a label take no part.
     """
-    ship(texts.sparkSession)
+    spark = texts.sparkSession
+    ship(spark)
     common, counts = _common(texts, hashed)
+    drop_shuffles(spark)
     shown = durable(_prefixes(texts, hashed, common, counts, least).join(labels, "rid"))
-    pairs = durable(candidates(shown, least))
-
-    def possible(x: bytes, y: bytes) -> bool:
-        """Whether sizes (8 bytes) and parity maps leave the similarity possible."""
-        flips = (int.from_bytes(x[8:], "big") ^ int.from_bytes(y[8:], "big")).bit_count()
-        return flips <= (1 - least) / (1 + least) * (int.from_bytes(x[:8], "big") + int.from_bytes(y[:8], "big")) + 1e-6
+    drop_shuffles(spark)
+    formed = durable(candidates(shown, least))
+    drop_shuffles(spark)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,7 +250,13 @@ def near_links(texts: DataFrame, labels: DataFrame, hashed: Callable[[bytes], np
         give_back()
 
     sketches = shown.select("rid", F.concat(F.unhex(F.lpad(F.hex(F.col("size").cast("long")), 16, "0")), "map").alias("fact"))
-    pairs = durable(_kept(pairs, sketches, possible))
+    pairs = durable(_kept(formed, sketches, lambda x, y: possible(x, y, least)))
+    remove_scratch(shown)
+    remove_scratch(formed)
     asked = durable(pairs.select(F.col("a").alias("asked")).unionByName(pairs.select(F.col("b").alias("asked"))).distinct())
+    drop_shuffles(spark)
     sets = durable(texts.join(lookup(asked), F.col("rid") == F.col("asked")).select("rid", "text").mapInArrow(whole, "rid long, fact binary"))
-    return durable(_kept(pairs, sets, lambda x, y: near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))))
+    found = durable(_kept(pairs, sets, lambda x, y: near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))))
+    remove_scratch(sets)
+    drop_shuffles(spark)
+    return found
