@@ -34,6 +34,22 @@ def test_word_by_word_on_any_text(text):
     assert np.frombuffer(next(own.encode([text])), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_words_with_marks_need_few_encodings(monkeypatch):
+    """Words of letters and marks were each given to the whole tokenizer, and letters one by one."""
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}word{tail}" for i in range(400)) for tail in ("", "###", "$%&", "|<>*")]
+    given_words, encode = [], tokens._ids
+    monkeypatch.setattr(tokens, "_ids", lambda tokenizer, words: given_words.extend(words) or encode(tokenizer, words))
+    monkeypatch.setattr(tokens, "JOINED", 7)
+    own, tok = tokens.Encoder(PATH), Tokenizer.from_file(PATH)
+    for text, got in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(given_words) <= 4
+    own.forget()
+    own.ends[:] = False  # ends unknown: one by one
+    for text, got in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_small_cache(monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK_CHARS", 12)
     monkeypatch.setattr(tokens, "CACHE_WORDS", 5)

@@ -5,7 +5,7 @@ feeds are cut at; other white space stays inside a piece and is left to the toke
 
 A word of plain letters (below U+0250) and trailing punctuation is two tokenizer pieces, so its ids are those of its
 lower-case letters and of its punctuation. Such letters need no normalizing or splitting: a copy of the tokenizer
-without those steps encodes them.
+without those steps encodes them, many words in one text; a word's ids end where a token ends with the end-of-word suffix.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from tokenizers import Tokenizer
 
 #: Words kept in a worker's cache, the longest kept (characters), and the characters of text encoded at a time.
 CACHE_WORDS, CACHE_CHARS, BLOCK_CHARS = 1_200_000, 40, 2_000_000
-#: Words given to the tokenizer at once.
-ENCODED_AT_ONCE = 20_000
-TAIL, PLAIN = ".,;:!?", "\u0250"
+#: Words given to the tokenizer at once, and words of plain letters joined to a text.
+ENCODED_AT_ONCE, JOINED = 20_000, 5_000
+TAIL, PLAIN = ".,;:!?#*$%&|<>", "\u0250"
 
 
 class Encoder:
@@ -35,8 +35,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         bare = json.loads(self.tokenizer.to_str())
         steps = (bare["pre_tokenizer"] or {}).get("pretokenizers", [])
-        bare |= {"normalizer": None, "pre_tokenizer": next((s for s in steps if s["type"] == "ByteLevel"), None), "added_tokens": []}
+        split = [{"type": "WhitespaceSplit"}, *(s for s in steps if s["type"] == "ByteLevel")]
+        bare |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": split}, "added_tokens": []}
         self.letters = Tokenizer.from_str(json.dumps(bare))
+        suffix = bare["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.letters.get_vocab().items() if suffix and token.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -65,7 +69,7 @@ class Encoder:
         low = [c.lower() for c in bare]
         plain = [c.isalpha() and (b.isascii() or max(b) < PLAIN > max(c)) for b, c in zip(bare, low)]
         self.known |= _ids(self.tokenizer, list({w[len(b) :] if p else w for w, b, p in zip(new, bare, plain)}.difference(self.known)))
-        self.cores |= _ids(self.letters, list(set(compress(low, plain)).difference(self.cores)))
+        self.cores |= _joined_ids(self.letters, self.ends, list(set(compress(low, plain)).difference(self.cores)))
         known, cores = self.known, self.cores
         known |= {w: cores[c] + known[w[len(b) :]] for w, b, c, p in zip(new, bare, low, plain) if p}
         look = known.__getitem__
@@ -90,6 +94,21 @@ def _ids(tokenizer: Tokenizer, words: list[str]) -> dict[str, bytes]:
     return out
 
 
+def _joined_ids(tokenizer: Tokenizer, ends: np.ndarray, words: list[str]) -> dict[str, bytes]:
+    """Like _ids, for words without white space; ends: which ids end a word."""
+    out: dict[str, bytes] = {}
+    for at in range(0, len(words), JOINED):
+        some = words[at : at + JOINED]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
+        if len(cuts) != len(some):  # a word that ends in no such token
+            out |= _ids(tokenizer, some)
+            continue
+        data = ids.tobytes()
+        out |= {w: data[a:z] for w, a, z in zip(some, [0, *cuts], cuts)}
+    return out
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """One encoder a worker process, file and size of cache."""
