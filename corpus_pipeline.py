@@ -1,5 +1,7 @@
 """From raw documents to packed training sequences: five stages, each written before the next reads it.
 
+Each stage begins with executors that have returned the heap of the stages before.
+
 Every stage takes an empty table to an empty one, keeps columns that it does not know, and gives null rows the result
 that its function names.
 """
@@ -11,7 +13,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilsift.llm.common import durable, scratch_dir, table, temporary
+from veilsift.llm.common import durable, scratch_dir, settle, table, temporary
 from veilsift.llm.dedup import one_of_each
 from veilsift.llm.mixing import mixed_documents
 from veilsift.llm.packing import packed
@@ -22,26 +24,31 @@ from veilsift.llm.toxicity import clean_documents
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel machine calls toxic go; null texts are empty and stay, repeated rows share a verdict."""
+    settle(spark)
     return clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules (null texts do) or lie outside their language and source go; repeated rows share a verdict."""
+    settle(spark)
     return kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: of ties the least doc_id, null ids last; repeated rows are copies."""
+    settle(spark)
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by weight: a document comes as often as the mix takes it, up to three times. Texts without words are not taken."""
+    settle(spark)
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens; a null text is its end token, repeated rows are packed each."""
+    settle(spark)
     return packed(docs, public_tokenizers.path(TOKENIZER), END_ID, cache_words=CACHE_WORDS, keep_cache=False)
 
 

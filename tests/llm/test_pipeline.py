@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from veilsift.llm import dedup, simhash
 from veilsift.llm.common import durable
 
@@ -161,3 +162,20 @@ def test_stages(spark, tmp_path):
     before, after = seen["quality rules"]
     assert all(len(re.findall(r"\S+", r.text)) >= 50 for r in after.collect())
     assert sorted(r.doc_id for r in pipeline.run(spark, data).select("doc_id").collect()) == sorted(r.doc_id for r in seen["packing"][1].select("doc_id").collect())
+
+
+def garbage(spark):
+    """A weak reference to a Java string that nothing else holds: a full collection clears it."""
+    return spark.sparkContext._jvm.java.lang.ref.WeakReference("garbage")
+
+
+def test_stages_begin_with_a_collection_on_executors(spark, tmp_path, monkeypatch):
+    """In local mode the executor's JVM is the driver's."""
+    for name in ("clean_documents", "kept_documents", "one_of_each", "mixed_documents", "packed"):
+        monkeypatch.setattr(corpus_pipeline, name, lambda docs, *a, **k: docs)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES:
+        young = garbage(spark)
+        stage(spark, docs, str(tmp_path))
+        assert young.get() is None, name

@@ -1,3 +1,5 @@
+import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -88,3 +90,38 @@ def test_without_labels_and_empty(spark):
     assert T.scored(df.where("false"), spark.createDataFrame(labels, LABELS)).count() == 0
     kept = T.clean_documents(df, none)
     assert kept.columns == df.columns and kept.count() == df.count()
+
+
+def test_memory_of_kernel_values_does_not_grow_with_the_words():
+    """Beyond the values themselves; all words are near to a landmark, so that their subsequences are listed."""
+    rng = np.random.default_rng(2)
+    mark = "worthlessscoundrelsandidiots"
+    words = [f"{mark[:at]}{c}{mark[at:]}{i}".encode() for i, (at, c) in enumerate(zip(rng.integers(1, 28, 6000).tolist(), rng.choice(list("abcdefgh"), 6000)))]
+    kernel = T.Kernel([mark.encode(), b"moron"])
+
+    def peak(some):
+        tracemalloc.start()
+        try:
+            values = kernel(some)
+            return tracemalloc.get_traced_memory()[1] - values.nbytes
+        finally:
+            tracemalloc.stop()
+
+    assert (kernel(words[:50])[:, 0] >= T.NEAR).all()
+    assert peak(words) < 1.5 * peak(words[:1000])
+
+
+def test_learning_keeps_a_documents_strings_in_little_memory():
+    texts = [" ".join(f"word{(i * 37 + k) % 5000}" for k in range(400)).encode() + (b" idiot" if i % 2 else b"") for i in range(400)]
+    held = []
+
+    def chosen(toxic, clean, n):
+        held.append(sum(sys.getsizeof(x) for x in toxic) / sum(len(x) for x in toxic))
+        return choose(toxic, clean, n)
+
+    choose, T._choose = T._choose, chosen
+    try:
+        assert T.train(texts, [i % 2 == 1 for i in range(400)])
+    finally:
+        T._choose = choose
+    assert held[0] < 20  # bytes a string

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -99,9 +100,19 @@ def integer_ids(docs: DataFrame) -> None:
         raise TypeError(f"doc_id must be of an integer type, not {kind.simpleString()}")
 
 
+def settle(spark: SparkSession) -> None:
+    """Let executors return the heap that ended jobs have freed, which their JVMs keep while Python workers need memory.
+
+    One short task a core asks the JVM it runs in for a full collection; an executor that gets none keeps its heap.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
+
 def give_back() -> None:
     """Return a worker's freed memory to the system: Spark keeps idle workers for a while."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
