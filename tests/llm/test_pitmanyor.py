@@ -139,3 +139,12 @@ def test_head_holds_the_most_frequent_words(spark, monkeypatch):
     head = M._head(model)
     often = np.array([xxhash.xxh64_intdigest(b"often")], np.uint64).view(np.int64)
     assert head.find(often)[1].all() and head.count.min() >= 13 and len(head.hash) < 45
+
+
+def test_rounds_begin_with_a_collection_on_executors(spark, monkeypatch):
+    """Before the counts, the second round and the scoring."""
+    made = []
+    for name in ("settle", "build", "sample"):
+        monkeypatch.setattr(M, name, lambda *a, f=getattr(M, name), name=name: made.append(name) or f(*a))
+    assert M.scored(spark.createDataFrame(sample()[:40], SCHEMA)).count() == 40
+    assert made == ["settle", "build", "settle", "sample", "settle"]

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, give_back, ship
+from .common import durable, give_back, settle, ship
 
 CONTEXTS, SAMPLES = 1 << 16, 4
 #: Discount and strength of the context restaurants and of the parent in the first round; then they are drawn from GRID.
@@ -684,12 +684,15 @@ def scored(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD, F.lit(False))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(1 << 17, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (20 * ROWS_A_TASK) + 1))
+    settle(spark)
     shards = durable(build(counts(texts.where(~held), parts), parts))
+    settle(spark)
     totals = _sum_rows(shards)
     hyper = draws(totals)
     model = durable(sample(shards, totals, hyper))
     p = Predictive.of(_sample_sums(model), hyper)
     found = _looked_up(texts, _head(model), p, parts)
+    settle(spark)
     shared = spark.sparkContext.broadcast(p)
 
     def tail(key: tuple, asked: pa.Table, rows: pa.Table) -> pa.Table:
