@@ -96,3 +96,35 @@ def test_counts_of_frequent_elements_are_bounded():
         assert len(key) <= 50
     got, true = dict(zip(key.tolist(), count.tolist())), np.bincount(keys)
     assert all(true[k] - len(keys) / 51 <= got.get(k, 0) <= true[k] for k in range(1, 5_001))
+
+
+def formed(spark, rows):
+    """Candidates of texts that are all labelled apart."""
+    texts = durable(spark.createDataFrame(rows, "rid long, text string").repartition(4))
+    common, counts = setjoin._common(texts, dedup.shingle_hashes)
+    shown = setjoin._prefixes(texts, dedup.shingle_hashes, common, counts, 0.8).join(texts.selectExpr("rid", "rid AS label"), "rid")
+    return setjoin.candidates(durable(shown), 0.8).count()
+
+
+def test_edited_copies_that_stay_apart_form_few_candidates(spark):
+    """All pairs share most of their elements; a candidate a pair were 3,160."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(80):
+        words = [f"word{i}" for i in range(150)]
+        for at in rng.choice(np.arange(3, 147, 6), 4, replace=False):
+            words[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(words)))
+    sets = [dedup.shingle_hashes(t.encode()) for _, t in rows]
+    assert not any(dedup.near(a, b) for a, b in combinations(sets, 2))
+    assert formed(spark, rows) < 400
+
+
+def test_passages_that_a_sample_misses_form_few_candidates(spark, monkeypatch):
+    """Each of 30 passages lies in 8 texts, of which a sample of 12 texts holds hardly any; a candidate a pair were 840."""
+    monkeypatch.setattr(setjoin, "SAMPLE", 12)
+    rows = []
+    for k in range(240):
+        passage = [f"p{k // 8}x{i}" for i in range(20)]
+        rows.append((k, " ".join([f"w{k}x{i}" for i in range(90)] + passage)))
+    assert formed(spark, rows) < 100

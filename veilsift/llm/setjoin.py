@@ -2,16 +2,18 @@
 
 Of two sets of n and m elements in one common order that reach a similarity t, the first n - ceil(t n) + 1 elements of one
 and the first m - ceil(t m) + 1 of the other share an element. So texts that share no such element need no comparison, and
-the rest are candidates unless their sizes, the places of the shared element, or their parity maps (a bit for an odd number
+the rest are candidates unless their sizes, the places of the first element they share, or their parity maps (a bit for an odd number
 of elements in a bin; elements in one set only flip at most one bit each) rule the similarity out. A map has a bit an element
 or more, else it would tell nothing of a large set; of two maps the longer is folded. No filter loses a pair. Candidates are
 verified on the whole sets.
 
-The order puts elements that a sample of SAMPLE texts holds repeatedly last, by count; it steers cost only. Texts carry a
-label, and pairs of one label are linked already: they are not formed. An element shared by more than HOT texts is dealt
+The order puts elements held repeatedly last, by count: those of hashes below LOW are counted in all texts, others in a
+sample of SAMPLE texts. Elements held once come first by hash, so most of what a text shows has been counted in full. It
+steers cost only. A pair passes at the first element it shares, with nothing shared before it, so copies of a text that
+differ in rare elements and stay apart form few candidates, though they share most elements. Texts carry a label, and pairs of one label are linked already: they are not formed. An element shared by more than HOT texts is dealt
 to tasks in pairs of blocks; such elements are found by counts within tasks (Misra and Gries 1982), which shuffle few of
-them. What a step wrote or shuffled is deleted once nothing reads it. A text makes about (1 - t) n rows at any table size; texts that share rare elements and stay
-apart cost a candidate a pair.
+them. What a step wrote or shuffled is deleted once nothing reads it. A text makes about (1 - t) n rows at any table size; texts that share their
+first elements and stay apart cost a candidate a pair.
 
 Empty sets have no element and no pair. An empty table gives no links. rid and label are not null.
 """
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import drop_shuffles, durable, give_back, lookup, remove_scratch, ship
 
-#: Texts that are counted for the order, elements kept of it, and the count from which an element is kept.
+#: Texts whose elements are all counted for the order, elements kept of it, and the count from which an element is kept.
 SAMPLE, COMMON, REPEATED = 20_000, 200_000, 3
+#: Elements below it are counted in all texts, and of equal count come first; texts of a task that counts them.
+LOW, TEXTS_A_TASK = np.uint64(3 << 61), 10_000
 #: Rows of an element above which it is dealt in blocks, rows of a task, and pairs formed at once.
 HOT, ROWS_A_TASK, CHUNK = 20_000, 500_000, 1_000_000
 #: Least bits of a parity map, a power of two.
@@ -93,8 +97,8 @@ def bucket_pairs(key: np.ndarray, label: np.ndarray, size: np.ndarray, place: np
         n = count[at:to]
         a = np.repeat(rows[at:to], n)
         b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)
-        # what both can share: before the element, and from it on
-        most = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b])
+        # a pair need only pass at the first element it shares: none before, at most the rest from it on
+        most = np.minimum(size[a] - place[a], size[b] - place[b])
         good = most >= least / (1 + least) * (size[a] + size[b]) - 1e-6
         yield a[good], b[good]
         at = to
@@ -118,21 +122,34 @@ def _prefixes(sets: DataFrame, hashed: Callable[[bytes], np.ndarray], common: np
 
 
 def _common(texts: DataFrame, hashed: Callable[[bytes], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Elements that a sample of the texts holds repeatedly, ascending, and their counts."""
+    """Elements held repeatedly, ascending, and their counts: of elements below LOW in all texts, of others in a sample."""
     share = max(1, -(-texts.count() // SAMPLE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text in b.column(0).cast(pa.binary()).to_pylist():
-                yield pa.record_batch([pa.array(hashed(text or b"").view(np.int64))], ["element"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                some = [(hashed(text or b""), drawn) for text, drawn in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist())]
+                counted = np.concatenate([x if drawn else x[x < LOW] for x, drawn in some])
+                yield pa.record_batch([pa.array(counted.view(np.int64))], ["element"])
+        give_back()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.asarray(b.column(0)) for b in batches if b.num_rows]
+        if got:
+            element, n = np.unique(np.concatenate(got).view(np.uint64), return_counts=True)
+            element, n = element[n >= REPEATED], n[n >= REPEATED]
+            yield pa.record_batch([pa.array(element.view(np.int64)), pa.array(np.where(element < LOW, n, n * share))], ["element", "count"])
         give_back()
 
-    some = texts.where(F.pmod(F.xxhash64("rid", F.lit("common")), F.lit(share)) == 0).select("text")
-    counted = some.mapInArrow(run, "element long").groupBy("element").count().where(F.col("count") >= REPEATED)
+    drawn = F.pmod(F.xxhash64("rid", F.lit("common")), F.lit(share)) == 0
+    held = texts.select("text", drawn.alias("drawn")).mapInArrow(run, "element long")
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // TEXTS_A_TASK))
+    counted = held.repartition(tasks, "element").mapInArrow(count, "element long, count long")
     found = counted.orderBy(F.col("count").desc(), "element").limit(COMMON).toPandas()
-    element, count = found["element"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+    element, counts = found["element"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
     order = np.argsort(element)
-    return element[order], count[order]
+    return element[order], counts[order]
 
 
 def _spread(shown: DataFrame) -> DataFrame:
