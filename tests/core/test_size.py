@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilsift import fixed as X
-from veilsift import rules
+from veilsift import queries, rules
 from veilsift.functions import info
 from veilsift.operators import lexer, patterns
 from veilsift.plans.detect import detect
 
+DATA = "/root/testdata/sf0.001"
 BODY = "0f3a9c7be1d24568af09b3c7d1e5f2a4b6c8d0e1f2a7c3b9"
 
 
@@ -71,6 +72,13 @@ def test_entropy_is_worked_out_once(spark):
         assert entropy == pytest.approx(n, abs=1e-12) and 0 <= share <= 1
 
 
+@pytest.mark.parametrize("name", ["baseline_new", "baseline_classes", "baseline_updated", "baseline_summary"])
+def test_a_baseline_looks_for_findings_once(spark, name):
+    df = queries.QUERIES[name](spark, DATA)
+    assert df.collect()
+    assert plan(df).count("Generate explode(flatten") == 1  # of the rules' matches, below an exchange that is reused
+
+
 def test_findings_are_not_sorted_before_they_are_dealt(spark):
     df = detect(units(spark, f'"{BODY[:40]}"'))
     assert df.count() == 1 and "WindowGroupLimit" not in plan(df)
