@@ -11,6 +11,7 @@ from veilsift import fixed as X
 from veilsift import queries, rules
 from veilsift.functions import info
 from veilsift.operators import lexer, patterns
+from veilsift.operators.order import positions
 from veilsift.plans.detect import detect
 
 DATA = "/root/testdata/sf0.001"
@@ -82,3 +83,16 @@ def test_a_baseline_looks_for_findings_once(spark, name):
 def test_findings_are_not_sorted_before_they_are_dealt(spark):
     df = detect(units(spark, f'"{BODY[:40]}"'))
     assert df.count() == 1 and "WindowGroupLimit" not in plan(df)
+
+
+def test_positions_by_many_tasks(spark):
+    draw = random.Random(3)
+    rows = [(f"p{draw.randrange(50)}", draw.choice([None, 1, 2]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "path string, line int, i int").repartition(7)
+    got = positions(df, [F.col("path"), F.coalesce("line", F.lit(0)), F.col("i")])
+    for _ in range(2):
+        assert [r.i for r in got.orderBy("position").collect()] == [r[2] for r in sorted(rows, key=lambda r: (r[0], r[1] or 0, r[2]))]
+    assert sorted(r.position for r in got.collect()) == list(range(1, 3001)) and got.columns == ["path", "line", "i", "position"]
+    assert positions(df.where("false"), [F.col("i")]).count() == 0
+    ordered = queries.QUERIES["canonical_order"](spark, DATA)
+    assert "row_number" not in plan(ordered) and ordered.count() == queries.found(spark, DATA).count()
